@@ -1,0 +1,35 @@
+"""Per-task running top-N for many queries; what leaves a task is at most N rows per query."""
+
+import numpy as np
+
+
+class RunningBest:
+    """Smallest key first, then smallest chunk id."""
+
+    def __init__(self, depth, n_queries):
+        self.depth = depth
+        self.limit = max(4 * depth * n_queries, 1 << 18)
+        self.parts, self.size = [], 0
+
+    def add(self, query, chunk_ids, key):
+        if len(key) > self.depth:
+            cut = np.partition(key, self.depth - 1)[self.depth - 1]
+            keep = np.flatnonzero(key <= cut)
+            if len(keep) > self.depth:  # many ties at the cut: the lowest ids win
+                keep = keep[np.lexsort((chunk_ids[keep], key[keep]))[: self.depth]]
+            chunk_ids, key = chunk_ids[keep], key[keep]
+        self.parts.append((np.full(len(key), query, dtype=np.int64), chunk_ids.astype(np.int64), key))
+        self.size += len(key)
+        if self.size > self.limit:
+            self.parts = [self.result()]
+            self.size = len(self.parts[0][0])
+
+    def result(self):
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        q, c, k = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((c, k, q))
+        q, c, k = q[order], c[order], k[order]
+        first = np.searchsorted(q, q, side="left")
+        keep = np.arange(len(q)) - first < self.depth
+        return q[keep], c[keep], k[keep]
