@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from .text import blank, col, fold_ascii, no_strings, strip
+from .text import blank, col, fold_ascii, no_strings, pin, strip
 
 # Word lists and patterns of the admission rules.
 STOP_WORDS = (
@@ -150,35 +150,30 @@ def _count(arr, pred):
 def judge(pairs, question="question", record="record", near=0.28, specific=0.5):
     """Adds `verdict` STRUCT<verdict, kind, specific_coverage, generic_overlap, bound, reason> to (question, record) rows."""
     keep = pairs.columns
-    sentences = F.split(col(record), SENTENCE_END)
-    d = pairs.select(
-        *keep,
-        question_kind(question).alias("_kind"),
-        normalise(question).alias("_qnorm"),
-        _all(col(question), PROPER_NOUN).alias("_proper_raw"),
-        sentences.alias("_sents"),
-        fold_ascii(F.array_join(sentences, _MARK)).alias("_folded"),
-        fold_ascii(F.array_join(_all(col(question), PROPER_NOUN), _MARK)).alias("_proper_folded"),
+    proper_words = _all(col(question), PROPER_NOUN)
+    d = pin(pairs, _sents=F.split(col(record), SENTENCE_END), _kind=question_kind(question))
+    d = d.withColumns({
+        "_qnorm": normalise(question),
+        "_folded": fold_ascii(F.array_join("_sents", _MARK)),
+        "_named": fold_ascii(F.array_join(proper_words, _MARK)),
+    })
+    proper = F.filter(F.transform(F.split("_named", _MARK), normalise_ascii), lambda p: (p != "") & ~p.isin(*STOP_WORDS))
+    d = pin(
+        d, _terms=terms_of(F.col("_qnorm")), _proper=F.array_distinct(proper), _rec=normalise_ascii(F.col("_folded")),
+        _norms=F.transform(F.split("_folded", _MARK), normalise_ascii),
     )
-    d = d.select(
-        *keep, "_kind", "_sents",
-        terms_of(F.col("_qnorm")).alias("_terms"),
-        F.array_distinct(
-            F.filter(
-                F.transform(F.split("_proper_folded", _MARK), normalise_ascii),
-                lambda p: (p != "") & ~p.isin(*STOP_WORDS),
-            )
-        ).alias("_proper"),
-        normalise_ascii(F.col("_folded")).alias("_rec"),
-        F.transform(F.split("_folded", _MARK), normalise_ascii).alias("_norms"),
-    )
-    d = d.select(
-        "*",
-        F.filter("_terms", lambda t: is_specific(t) | F.array_contains(F.col("_proper"), t)).alias("_spec"),
-        F.filter("_terms", lambda t: ~(is_specific(t) | F.array_contains(F.col("_proper"), t))).alias("_gen"),
-        F.split("_rec", " ").alias("_tokens"),
-        F.replace("_rec", F.lit("-"), F.lit(" ")).alias("_flat"),
+
+    def marked(t):
+        return is_specific(t) | F.array_contains(F.col("_proper"), t)
+
+    def window(_, i):
+        return F.trim(F.array_join(F.slice("_norms", F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3)), " "))
+
+    d = pin(
+        d, _spec=F.filter("_terms", marked), _gen=F.filter("_terms", lambda t: ~marked(t)), _tokens=F.split("_rec", " "),
+        _flat=F.replace("_rec", F.lit("-"), F.lit(" ")), _wins=F.transform("_norms", window),
     )
+    d = pin(d, _wterms=F.transform("_wins", terms_of))
 
     def hit(t):
         flat = F.replace(t, F.lit("-"), F.lit(" "))
@@ -192,26 +187,24 @@ def judge(pairs, question="question", record="record", near=0.28, specific=0.5):
 
     n_spec, n_gen = F.size("_spec"), F.size("_gen")
 
-    def anchored_values(i):
-        window = F.trim(F.array_join(F.slice("_norms", F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3)), " "))
-        window_terms = terms_of(window)
-        spec_here = _count(
-            F.col("_spec"),
-            lambda t: F.array_contains(window_terms, t) | ((F.length(t) >= 6) & F.contains(window, t)),
-        )
-        gen_here = _count(F.col("_gen"), lambda t: F.array_contains(window_terms, t))
-        anchored = F.when(n_spec > 0, (spec_here >= 1) & (spec_here + gen_here >= 2)).otherwise(
+    def anchored(_, i):
+        def here(t):
+            return F.array_contains(F.get("_wterms", i), t)
+
+        spec_here = _count(F.col("_spec"), lambda t: here(t) | ((F.length(t) >= 6) & F.contains(F.get("_wins", i), t)))
+        gen_here = _count(F.col("_gen"), here)
+        return F.when(n_spec > 0, (spec_here >= 1) & (spec_here + gen_here >= 2)).otherwise(
             gen_here >= F.greatest(F.lit(2), F.floor(n_gen / 2))
         )
-        return F.when(anchored, candidates(F.get("_sents", i), F.col("_kind"))).otherwise(no_strings())
-
-    d = d.select(
-        *keep, "_kind", "_spec", "_proper",
-        F.when(n_spec > 0, _count(F.col("_spec"), hit) / n_spec).otherwise(F.lit(1.0)).alias("_cov"),
-        F.when(n_gen > 0, _count(F.col("_gen"), hit) / n_gen).otherwise(F.lit(0.0)).alias("_over"),
-        F.flatten(F.transform(F.sequence(F.lit(0), F.size("_sents") - 1), anchored_values)).alias("_bound"),
-        ((F.size("_proper") == 0) | F.exists("_proper", hit)).alias("_anchor"),
+
+    d = pin(
+        d,
+        _cov=F.when(n_spec > 0, _count(F.col("_spec"), hit) / n_spec).otherwise(F.lit(1.0)),
+        _over=F.when(n_gen > 0, _count(F.col("_gen"), hit) / n_gen).otherwise(F.lit(0.0)),
+        _useful=F.filter("_sents", anchored),
+        _anchor=(F.size("_proper") == 0) | F.exists("_proper", hit),
     )
+    d = pin(d, _bound=F.flatten(F.transform("_useful", lambda x: candidates(x, F.col("_kind")))))
     covered = F.col("_cov") >= specific
 
     def verdict(name, bound, reason):
@@ -228,4 +221,4 @@ def judge(pairs, question="question", record="record", near=0.28, specific=0.5):
         .when(near_enough, verdict(NEAR, F.col("_bound"), "domain overlap without the query's distinctive specifics"))
         .otherwise(verdict(IRRELEVANT, no_strings(), "low overlap"))
     )
-    return d.select(*keep, out.alias("verdict"))
+    return pin(d.drop(*[c for c in keep if c == "verdict"]), verdict=out).select(*[c for c in keep if c != "verdict"], "verdict")

@@ -37,6 +37,12 @@ def strip(c, chars=WHITESPACE):
     return F.btrim(col(c), F.lit(chars))
 
 
+def pin(df, **columns):
+    """Add columns that are computed once per row. A plain projection may be merged into the lambdas that use it and
+    then runs once per array element; a generator output is not."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def blank(c):
     return F.coalesce(col(c), F.lit(""))
 

@@ -5,6 +5,8 @@ import os
 QUERIES = {}
 ORACLES = {}
 
+WIDE = ("orders", "documents", "conversations", "lineitem")
+
 
 def query(name, sql=None):
     def keep(fn):
@@ -18,5 +20,12 @@ def query(name, sql=None):
     return keep
 
 
+def spread(df):
+    """Use every core on a scan that yields fewer splits than cores (one small file); a large scan is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark, sf_dir, name):
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(df) if name in WIDE else df
