@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import directives as g
 from ..functions.serving import sanitize_field
+from ..functions.text import pin
 from ..params import DEFAULTS
 
 
@@ -41,10 +42,8 @@ def check_actions(hits: DataFrame, p=DEFAULTS) -> DataFrame:
         "action_id", "action", "rel_path", "pos", F.posexplode(F.split("text", "\n")).alias("line_no", "raw")
     )
     rules = rules.select("*", F.btrim("raw", F.lit(" \t\r")).alias("line")).filter(g.is_directive("line"))
-    rows = rules.select(
-        "action_id", "rel_path", "pos", "line_no", "line",
-        g.rule_tokens("action").alias("a"), g.rule_tokens("line").alias("r"),
-    ).withColumn("matched", F.filter("a", lambda x: F.exists("r", lambda y: related(x, y))))
+    rows = pin(rules.select("action_id", "rel_path", "pos", "line_no", "line", "action"), a=g.rule_tokens("action"), r=g.rule_tokens("line"))
+    rows = pin(rows.drop("action"), matched=F.filter("a", lambda x: F.exists("r", lambda y: related(x, y))))
     rows = rows.filter(F.size("matched") > 0)
     idf = rule_idf(hits)
     line = ["action_id", "rel_path", "pos", "line_no"]
