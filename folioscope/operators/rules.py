@@ -7,6 +7,7 @@ from ..functions import directives as g
 from ..functions.serving import sanitize_field
 from ..functions.text import pin
 from ..params import DEFAULTS
+from ..session import cut
 
 
 def core_rules(text: str, actions: DataFrame) -> DataFrame:
@@ -44,8 +45,8 @@ def check_actions(hits: DataFrame, p=DEFAULTS) -> DataFrame:
     rules = rules.select("*", F.btrim("raw", F.lit(" \t\r")).alias("line")).filter(g.is_directive("line"))
     rows = pin(rules.select("action_id", "rel_path", "pos", "line_no", "line", "action"), a=g.rule_tokens("action"), r=g.rule_tokens("line"))
     rows = pin(rows.drop("action"), matched=F.filter("a", lambda x: F.exists("r", lambda y: related(x, y))))
-    rows = rows.filter(F.size("matched") > 0)
-    idf = rule_idf(hits)
+    rows = cut(rows.filter(F.size("matched") > 0))
+    idf = cut(rule_idf(hits))
     line = ["action_id", "rel_path", "pos", "line_no"]
 
     def tagged(c):

@@ -26,6 +26,11 @@ def spread(df):
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def fan_out(df):
+    """Give row-heavy work every core after a join whose small output was merged into few partitions."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def table(spark, sf_dir, name):
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     return spread(df) if name in WIDE else df

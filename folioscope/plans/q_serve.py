@@ -12,7 +12,7 @@ from ..operators import rules as ru
 from ..operators import serving as sv
 from ..params import DEFAULTS
 from ..sources import notes as src
-from .catalog import query, table
+from .catalog import fan_out, query, table
 from .oracle_views import (
     sql_is_abstraction, sql_norm, sql_record_date, sql_stale_marker, sql_terms_of, with_views,
 )
@@ -34,7 +34,7 @@ def customer_hits(s, p):
     hits = R.bury_superseded(hits, R.superseded_slugs(src.supersessions(src.notes(s, p))), 1.0)
     hits = R.belief_visibility(hits, src.beliefs(s, p), rank=False)
     # dropping foreign drafts closes the ranks up again
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+    return fan_out(hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))))
 
 
 _CAND_RX = r"regexp_extract_all({}, '\d{{4}}-\d{{2}}-\d{{2}}|[0-9][0-9.]*')"
@@ -63,7 +63,7 @@ judged AS (SELECT *, CASE WHEN len(bound) > 0 AND cov >= 0.5 THEN 'ADMISSIBLE' W
 def _pairs(s, p):
     n = src.notes(s, p).select("k", F.col("body").alias("record"))
     q = src.notes(s, p).select(F.col("k").alias("qk"), F.concat(F.lit("How many units did the order-"), F.col("k").cast("string"), F.lit(" invoice record?")).alias("question"))
-    return q.withColumn("k", F.explode(F.array(F.col("qk"), F.col("qk") + 1))).join(n, "k")
+    return fan_out(q.withColumn("k", F.explode(F.array(F.col("qk"), F.col("qk") + 1))).join(n, "k"))
 
 
 _PAIRS = """pairs AS (SELECT a.k AS qk, b.k AS k, 'How many units did the order-' || a.k || ' invoice record?' AS question, b.body AS record FROM notes a JOIN notes b ON b.k = a.k
@@ -195,7 +195,7 @@ def action_hits(s, p):
     parts = table(s, p, "part").select("p_partkey", "p_name", "p_type", "p_brand")
     named = li.join(parts, "p_partkey").groupBy("action_id").agg(F.min("p_name").alias("nm"), F.max("p_type").alias("ty"), F.min("p_brand").alias("br"))
     acts = named.select("action_id", F.concat(F.lit("shipping order-"), F.col("action_id").cast("string"), F.lit(" holding one "), "nm", F.lit(" and paying the unverified "), "br", F.lit(" invoice, "), F.lower("ty"), F.lit(" receipts missing")).alias("action"))
-    return li.join(acts, "action_id").join(part_rules(s, p), "p_partkey").select("action_id", "action", "rel_path", F.lit("feedback").alias("doc_type"), "text", F.col("p_partkey").alias("pos"))
+    return fan_out(li.join(acts, "action_id").join(part_rules(s, p), "p_partkey")).select("action_id", "action", "rel_path", F.lit("feedback").alias("doc_type"), "text", F.col("p_partkey").alias("pos"))
 
 
 _RULES = """

@@ -262,10 +262,10 @@ _q("p10_belief_list", ["beliefs"], "SELECT belief_id, persona, state FROM belief
 def audit(files, today, since=0, prefix=""):
     """(decidable, ranked, blind spot) over raw file texts: rel_path, text, mtime."""
     kept = files.filter(~t.is_archive_path("rel_path") & F.startswith("rel_path", F.lit(prefix)))
-    seen = kept.select(
-        "rel_path", "text", d.claim_date("text", "rel_path", d.epoch_to_iso("mtime")).alias("c"),
-        d.expired("text", today).alias("expired"), d.volatility("text").alias("volatility"))
-    seen = seen.withColumn("days", d.days_since("c.date", today))
+    seen = t.pin(
+        kept.select("rel_path", "text", "mtime"), c=d.claim_date("text", "rel_path", d.epoch_to_iso("mtime")),
+        expired=d.expired("text", today), volatility=d.volatility("text"))
+    seen = t.pin(seen, days=d.days_since("c.date", today))
     decidable = seen.filter("expired is not null").select("rel_path", "expired", d.days_since("expired", today).alias("days"))
     ranked = seen.filter((F.col("volatility") == "open") & (F.col("days") >= since)).select(
         "rel_path", "days", "c.label", F.col("c.date").alias("claimed"), F.array_join(d.open_claims("text"), " / ").alias("claims"))
