@@ -15,7 +15,7 @@ from folioscope.session import build_session
 HEADLINE = (
     "r01_hybrid_search", "r02_exact_knn", "r04_bm25_lines", "r05_keyword_only", "r16_admissibility", "r17_excerpt",
     "f24_stale_marker", "f46_extractive_snapshot", "q01_open_claims", "q02_index_currency", "s04_change_classes",
-    "a02_inbound_links", "g02_promotion_gate", "g04_retraction_cascade", "r20_action_check", "g05_near_duplicate_groups",
+    "a02_inbound_links", "g02_promotion_gate", "g04_retraction_cascade", "a03_rule_idf", "g05_near_duplicate_groups",
     "h01_idempotent_capture", "h06_name_resolution", "w07_chunk_packing", "w12_request_limiter",
 )
 

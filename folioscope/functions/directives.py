@@ -55,13 +55,8 @@ def is_directive(line):
 
 
 def stem(word):
-    out = F.when(F.lit(False), word)
-    for suffix in SUFFIXES:
-        out = out.when(
-            (F.length(word) - len(suffix) >= 4) & F.endswith(word, F.lit(suffix)),
-            F.left(word, F.length(word) - len(suffix)),
-        )
-    return out.otherwise(word)
+    """Strip the longest listed suffix that leaves at least four characters."""
+    return F.regexp_replace(word, r"\A(.{4,}?)(?:" + "|".join(SUFFIXES) + r")\z", "$1")
 
 
 def rule_tokens(text):
