@@ -76,7 +76,7 @@ def _attach(cand, corpus, requests, small):
 def hybrid_search(requests: DataFrame, corpus: Corpus, now: float, p=DEFAULTS, scorer=None, max_small=MAX_BROADCAST_QUERIES):
     """(hits, withheld). Requests: query_id, query, embedding, and optionally k, doc_type, priority_only, recency,
     persona, envelope. The order of the steps is the meaning: candidates are cut before anything filters them."""
-    requests, refused = refuse_out_of_scope(complete(requests))
+    requests, refused = refuse_out_of_scope(cut(complete(requests)))
     small = rows_if_small(requests.select("query_id"), max_small) is not None
     deepest = _depth(requests, small, p)
     vec = knn_topn(requests, corpus.vectors, deepest, max_small)
@@ -110,7 +110,7 @@ def hybrid_search(requests: DataFrame, corpus: Corpus, now: float, p=DEFAULTS, s
 def keyword_search(requests: DataFrame, corpus: Corpus, p=DEFAULTS, max_small=MAX_BROADCAST_QUERIES):
     """(hits, withheld) by keyword relevance alone: the same visibility rules, marks instead of penalties."""
     has_envelope = "envelope" in requests.columns
-    requests = complete(requests)
+    requests = cut(complete(requests))
     small = rows_if_small(requests.select("query_id"), max_small) is not None
     deeper = has_envelope or not corpus.beliefs.isEmpty()
     k = requests.select(F.max("k")).collect()[0][0] or 1
