@@ -4,8 +4,9 @@ The program lives on the histogram of lengths, which has at most `capacity` entr
 rounded up to UNITS classes, a configuration says how many pieces of each class share a sequence, and the covering
 program "use as few configurations as cover every class" is solved by multiplicative weights. Each step prices the
 classes by how badly they are covered so far and finds the dearest configuration by a knapsack dynamic program. The
-fractional solution is rounded down; what is left, and the room left in rounded sequences, goes to best-fit decreasing
-on exact lengths. Plain best-fit of the whole histogram is computed as well, and the smaller result is taken.
+fractional solution is rounded down. Sequences that waste more than a threshold are opened again, the threshold being
+the one that ends with the fewest sequences; open pieces, the small ones among them, go by best-fit decreasing on exact
+lengths into the room that is left and into new sequences.
 
 Only the histogram and the plan reach the driver. Pieces get their place by a rank within their length (counted per
 bucket, so that a common length is split over tasks) and a join with the plan, whose size is bounded by the histogram.
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 from .common import stored
 from .tokens import encoder
 
-UNITS = 128
-EPSILON = 0.1
+UNITS = 256
+EPSILON = 0.3
+#: Pieces of at most capacity / SMALL fill the room that configurations leave; the program is for the larger ones.
+SMALL = 8
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, spot long, ids binary"
 
 
@@ -98,7 +101,7 @@ def rounded(histogram, capacity):
     room, queues, demand = capacity // unit, defaultdict(list), Counter()
     for length in sorted(histogram):
         c = -(-length // unit)
-        if c <= room:
+        if c <= room and length * SMALL > capacity:
             queues[c].append([length, histogram[length]])
             demand[c] += histogram[length]
     left, bins = dict(histogram), []
@@ -156,10 +159,22 @@ def best_fit(histogram, bins, capacity):
 
 
 def plan(histogram, capacity):
-    """Sequences as (lengths, how many): the rounded program, or plain best-fit where that needs fewer."""
-    some, left = rounded(histogram, capacity)
-    both = best_fit(left, some, capacity), best_fit(histogram, [], capacity)
-    return min(both, key=lambda bins: sum(n for _, n in bins))
+    """Sequences as (lengths, how many)."""
+    bins, left = rounded(histogram, capacity)
+    waste = [capacity - sum(content) for content, _ in bins]
+    best = None
+    for most in [capacity, *(capacity >> k for k in range(5, capacity.bit_length())), 0]:
+        kept, open_ = [], Counter(left)
+        for (content, count), w in zip(bins, waste, strict=True):
+            if w <= most:
+                kept.append((content, count))
+            else:
+                for length in content:
+                    open_[length] += count
+        tried = best_fit(open_, kept, capacity)
+        if best is None or sum(n for _, n in tried) < sum(n for _, n in best):
+            best = tried
+    return best
 
 
 def places(bins):
