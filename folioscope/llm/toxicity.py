@@ -74,7 +74,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     """The model: value of each bucket (ratio times weight) and the intercept."""
     marks = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     texts = docs.filter(~held_out("doc_id")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    train = stored(texts.join(marks, "doc_id"), "toxicity-train")
+    train = stored(texts.join(marks.hint("merge"), "doc_id"), "toxicity-train")  # both sides grow: one plan at every size
     counted = label_frequencies(train).toPandas()
     totals = counted[counted["bucket"] < 0]
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
