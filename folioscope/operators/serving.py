@@ -8,7 +8,7 @@ from ..functions import dating, grading
 from ..functions import serving as sv
 from ..functions.text import blank, is_abstraction, pin
 from ..params import DEFAULTS
-from .excerpt import excerpt
+from .excerpt import excerpts
 
 # The wording a reader sees.
 DRAFT_NOTE = "DRAFT — your own prior output, NOT evidence"
@@ -62,7 +62,7 @@ def _header():
 def serve(hits: DataFrame, today: str, p=DEFAULTS) -> DataFrame:
     """One row per kept record with excerpt, verdict, header, block and `used` characters. Hits carry query_id, query,
     rank, score, boosts and the document columns. Verdicts are judged on the exact excerpt served."""
-    d = hits.withColumn("excerpt", excerpt(F.col("text"), adm.terms("query"), p.serve_chunk_chars))
+    d = excerpts(hits, ["query_id", "rank"], "text", adm.terms("query"), p.serve_chunk_chars)
     d = adm.judge(d, "query", "excerpt", p.near_threshold, p.specific_threshold)
     d = d.withColumn("verdict", F.when(adm.is_question("query"), F.col("verdict")))
     where = ("text", "heading_path", "rel_path", "doc_type", "mtime", "claim_date")

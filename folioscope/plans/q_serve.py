@@ -165,9 +165,42 @@ cu AS (SELECT doc_id, i, s, coalesce(sum(w) OVER (PARTITION BY doc_id ORDER BY i
 wn AS (SELECT a.doc_id, a.i - 1 AS first, greatest(coalesce(max(b.i), a.i - 1), a.i - 1) AS last, CASE WHEN max(b.i) IS NULL THEN a.s ELSE max(b.s1) - a.s0 END AS score
   FROM cu a LEFT JOIN cu b ON b.doc_id = a.doc_id AND b.i >= a.i AND b.c1 <= a.c0 + 697 GROUP BY a.doc_id, a.i, a.s, a.s0)"""
 query("w10_best_window", "WITH" + _DQ + " SELECT doc_id, first, last, score FROM wn QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, first) = 1")(
-    lambda s, p: _doc_queries(s, p).select("doc_id", x.best_window(F.col("text"), F.col("terms"), 700).alias("w")).select("doc_id", "w.first", "w.last", "w.score"))
-query("r17_excerpt")(lambda s, p: _doc_queries(s, p).select("doc_id", x.excerpt(F.col("text"), F.col("terms"), 700).alias("excerpt")))
-query("w11_densest_region")(lambda s, p: _doc_queries(s, p).select("doc_id", x.cut_lines(F.regexp_replace("text", "\n", " "), F.col("terms"), 300).alias("cut")))
+    lambda s, p: x.best_windows(_doc_queries(s, p).withColumn("text", F.btrim("text", F.lit("\n"))), ["doc_id"], "text", "terms", 700)
+    .select("doc_id", F.col("i").alias("first"), F.col("stop").alias("last"), F.col("gain").alias("score")))
+
+
+def _sql_cut(src):
+    """CTEs that cut `line` of src(doc_id, line, terms, lim) to `lim` around its densest region of terms."""
+    return f"""
+lw AS (SELECT doc_id, lim, lower(line) AS low, unnest(list_distinct(list_transform(terms, lambda t: lower(t)))) AS t FROM {src} WHERE length(line) > lim AND lim > 2),
+hi AS (SELECT doc_id, lim, t, strpos(low, t) - 1 AS pos FROM lw WHERE contains(low, t)
+  UNION ALL SELECT doc_id, h.lim, t, pos + strpos(substr(low, pos + 2), t) FROM hi h JOIN lw USING (doc_id, t) WHERE contains(substr(low, pos + 2), t)),
+de AS (SELECT a.doc_id, a.pos, max(b.pos) - a.pos AS reach, count(*) AS n FROM (SELECT DISTINCT doc_id, lim, pos FROM hi) a JOIN hi b ON b.doc_id = a.doc_id AND b.pos BETWEEN a.pos AND a.pos + greatest(a.lim - 12, 1) GROUP BY a.doc_id, a.pos),
+rg AS (SELECT * FROM de QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) = 1),
+c1 AS (SELECT doc_id, line, lim, coalesce(greatest(0, pos - greatest(lim - reach, 0) // 2), 0) AS f FROM {src} LEFT JOIN rg USING (doc_id)),
+c2 AS (SELECT *, f > 0 AS l, f + lim - (f > 0)::INT < length(line) AS r FROM c1),
+c3 AS (SELECT *, least(length(line), f + lim - l::INT - r::INT) AS e, lim - l::INT - r::INT AS w FROM c2),
+c4 AS (SELECT *, substr(line, greatest(0, e - w) + 1, e - greatest(0, e - w)) AS b0 FROM c3),
+c5 AS (SELECT *, CASE WHEN l AND strpos(b0, ' ') > 0 AND strpos(b0, ' ') - 1 < length(b0) // 4 THEN substr(b0, strpos(b0, ' ') + 1) ELSE b0 END AS b1 FROM c4),
+c6 AS (SELECT *, CASE WHEN r AND contains(b1, ' ') AND length(b1) - strpos(reverse(b1), ' ') > length(b1) * 3 // 4 THEN substr(b1, 1, length(b1) - strpos(reverse(b1), ' ')) ELSE b1 END AS b2 FROM c5),
+cut AS (SELECT doc_id, CASE WHEN lim <= 2 THEN substr(line, 1, greatest(lim, 0)) WHEN length(line) <= lim THEN line ELSE CASE WHEN l THEN '…' ELSE '' END || b2 || CASE WHEN r THEN '…' ELSE '' END END AS piece FROM c6)"""
+
+
+query("r17_excerpt", "WITH RECURSIVE" + _DQ + """,
+bw AS (SELECT doc_id, first, last, score FROM wn QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, first) = 1),
+ss AS (SELECT doc_id, list(s ORDER BY i) AS ss FROM sc GROUP BY ALL),
+k1 AS (SELECT *, string_split(text, chr(10)) AS ls, first = last AS alone FROM bw JOIN dq USING (doc_id) JOIN ss USING (doc_id) WHERE length(text) > 700),
+k2 AS (SELECT *, len(ls) AS n, CASE WHEN alone THEN [] ELSE ls[first + 1:last] END AS shown, first > 0 AND (last >= len(ls) OR ss[last + 1] < ss[first]) AS up FROM k1),
+k3 AS (SELECT *, 696 - length(array_to_string(shown, chr(10))) AS spare, CASE WHEN up THEN ls[first] WHEN last < n THEN ls[last + 1] END AS nb FROM k2),
+k4 AS (SELECT *, coalesce(NOT alone AND score > 0 AND spare > 696 * 0.4 AND length(nb) > spare, false) AS fill FROM k3),
+src AS (SELECT doc_id, terms, CASE WHEN alone THEN ls[first + 1] WHEN fill THEN nb END AS line, CASE WHEN alone THEN 696 ELSE spare - 3 END AS lim FROM k4 WHERE alone OR fill),""" + _sql_cut("src") + """
+SELECT doc_id, CASE WHEN k4.doc_id IS NULL THEN dq.text WHEN alone THEN piece ELSE array_to_string(
+  (CASE WHEN first - (fill AND up)::INT > 0 THEN ['…'] ELSE [] END) || (CASE WHEN fill AND up THEN [piece] ELSE [] END) || shown
+  || (CASE WHEN fill AND NOT up THEN [piece] ELSE [] END) || (CASE WHEN last + (fill AND NOT up)::INT < n THEN ['…'] ELSE [] END), chr(10)) END AS excerpt
+FROM dq LEFT JOIN k4 USING (doc_id) LEFT JOIN cut USING (doc_id)""")(
+    lambda s, p: x.excerpts(_doc_queries(s, p), ["doc_id"], "text", F.col("terms"), 700).select("doc_id", "excerpt"))
+query("w11_densest_region", "WITH RECURSIVE" + _DQ + ", src AS (SELECT doc_id, terms, replace(d.text, chr(10), ' ') AS line, 300 AS lim FROM dq JOIN documents d USING (doc_id))," + _sql_cut("src") + " SELECT doc_id, piece AS cut FROM cut")(
+    lambda s, p: x.cut_lines(_doc_queries(s, p).withColumn("line", F.regexp_replace("text", "\n", " ")), ["doc_id"], budget=300).select("doc_id", "cut"))
 query("f57_line_score", "WITH" + _DQ + " SELECT doc_id, i - 1 AS line, s AS score FROM sc WHERE s > 0")(
     lambda s, p: _doc_queries(s, p).select("doc_id", "terms", F.posexplode(F.split(F.btrim("text", F.lit("\n")), "\n")).alias("line", "content"))
     .withColumn("norm", a.normalise("content")).transform(lambda z: t.pin(z, words=F.split("norm", " "), whole=F.col("norm")))

@@ -131,32 +131,38 @@ def test_whole_lines_and_ancestry():
 
 # ---- excerpts ---------------------------------------------------------------
 
-def test_best_window_against_every_window():
-    rng = np.random.default_rng(1)
-    for _ in range(50):
+def test_best_window_against_every_window(spark):
+    rng, rows_in, want = np.random.default_rng(1), [], {}
+    terms = ["alpha", "gamma"]
+    for k in range(50):
         lines = [" ".join(rng.choice(["alpha", "beta", "filler", "gamma"], rng.integers(0, 9))) for _ in range(30)]
-        terms = ["alpha", "gamma"]
-        i, j, score, *_ = x._best_window(lines, terms, 60)
-        scores = [x.line_score(ln, terms) for ln in lines]
-        best = None
+        rows_in.append((k, "\n".join(lines), terms))
+        scores, best = [len(set(ln.split()) & set(terms)) for ln in lines], None
         for a in range(30):
             fits = [b for b in range(a + 1, 31) if sum(map(len, lines[a:b])) + b - a - 1 <= 60]
             b = max(fits, default=a)
             s = sum(scores[a:b]) if fits else scores[a]
             if best is None or s > best[0]:
                 best = (s, a, b)
-        assert (score, i, j) == best
+        want[k] = best
+    df = spark.createDataFrame(rows_in, "k int, text string, terms array<string>")
+    assert {r["k"]: (r["gain"], r["i"], r["stop"]) for r in x.best_windows(df, ["k"], "text", "terms", 64).collect()} == want
 
 
-def test_excerpt_is_fast_and_bounded():
-    import time
-
-    t0 = time.time()
-    assert len(x.make_excerpt("\n" * 16350 + "needle", ["needle"], 700)) <= 704
-    assert time.time() - t0 < 0.5
+def test_excerpts_are_bounded_and_keep_every_occurrence(spark):
     line = "x " * 500 + "the needle here " + "y " * 500
-    got = x.cut_line(line, ["needle"], 80)
-    assert "needle" in got and len(got) <= 80 and got[0] == got[-1] == "…"
+    many = "needle " + "z " * 300 + "needle " * 70 + "end " * 300
+    df = spark.createDataFrame([(1, "\n" * 16350 + "needle"), (2, line), (3, "short"), (4, ""), (5, "a\n" * 500 + line), (6, many)], "k int, text string")
+    got = {r["k"]: r["e"] for r in x.excerpts(df, ["k"], "text", F.array(F.lit("needle")), 700, "e").collect()}
+    assert all(len(e) <= 704 for e in got.values()) and got[3] == "short" and got[4] == "" and got[1] == "needle"
+    assert "needle" in got[2] and "needle" in got[5] and got[2][0] == got[2][-1] == "…" and got[6].count("needle") == 70
+    cut = x.cut_lines(df.filter("k = 2").withColumn("terms", F.array(F.lit("needle"))), ["k"], "text", budget=80).first()["cut"]
+    assert "needle" in cut and len(cut) <= 80 and cut[0] == cut[-1] == "…"
+
+
+def test_overlapping_terms_count_every_place(spark):
+    df = spark.createDataFrame([(1, "anananan xx an", ["anan", "an"])], "k int, line string, terms array<string>")
+    assert sorted(r["at"] for r in x.occurrences(df, ["k"], "line", "terms").collect()) == [0, 0, 2, 2, 4, 4, 6, 12]
 
 
 # ---- groups -----------------------------------------------------------------
