@@ -28,7 +28,6 @@ OPEN_MARKER = (
     rf"|[{SIGNS}]{VARIATION}?\s*\**\s*(?:{OPEN_STATES})\b)"
 )
 CODE_LIKE_STARTS = ('"', "'", "//", "#!", "|--", "```")
-CLAIM_CHARS = 110
 
 
 def struct_of(label, date):
@@ -86,11 +85,12 @@ def open_claim_lines(text):
     return F.filter(stripped, asserts)
 
 
-def open_claims(text, limit=3):
-    shown = F.transform(
-        open_claim_lines(text), lambda s: F.left(F.regexp_replace(s, r"(?U)\s+", " "), F.lit(CLAIM_CHARS))
-    )
-    return F.slice(shown, 1, limit)
+def open_claims(text, limit=None, chars=None):
+    """Open claims as one line each; a display may ask for the first `limit`, cut to `chars`."""
+    shown = F.transform(open_claim_lines(text), lambda s: F.regexp_replace(s, r"(?U)\s+", " "))
+    if chars:
+        shown = F.transform(shown, lambda s: F.left(s, F.lit(chars)))
+    return F.slice(shown, 1, limit) if limit else shown
 
 
 def volatility(text):

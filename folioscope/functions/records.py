@@ -128,9 +128,13 @@ def _all(c, pattern, group=0):
     return F.regexp_extract_all(col(c), F.lit(pattern), F.lit(group))
 
 
-def harvest(text):
-    """Signals of a project page, as one STRUCT."""
-    text = col(text)
+def harvest(text, most=None):
+    """Signals of a project page, as one STRUCT; `most` names how many entries of a list to show, all where it does not."""
+    text, most = col(text), most or {}
+
+    def shown(name, found):
+        return (F.slice(found, 1, most[name]) if name in most else found).alias(name)
+
     mission = F.coalesce(
         F.nullif(F.regexp_extract(text, r"(?md)^>?\s*\*\*Mission\*\*[:：]?\s*(.+)$", 1), F.lit("")),
         F.nullif(F.regexp_extract(text, r"(?md)^##\s*Mission\s*\n+>?\s*(.+)$", 1), F.lit("")),
@@ -139,11 +143,11 @@ def harvest(text):
     return F.struct(
         strip(F.regexp_extract(text, r"(?md)^#\s+(.+)$", 1)).alias("h1"),
         strip(mission).alias("mission"),
-        F.slice(_all(text, r"(?md)(?:^\|.*\|\s*$\n?){2,}"), 1, 12).alias("tables"),
-        F.slice(F.array_distinct(_all(text, r"(?U)`?([\w./-]+\.\w+:\d+)`?", 1)), 1, 20).alias("file_refs"),
-        F.slice(_all(text, r"(?s)```(?:bash|sh)\n(.*?)```", 1), 1, 6).alias("shell_blocks"),
+        shown("tables", _all(text, r"(?md)(?:^\|.*\|\s*$\n?){2,}")),
+        shown("file_refs", F.array_distinct(_all(text, r"(?U)`?([\w./-]+\.\w+:\d+)`?", 1))),
+        shown("shell_blocks", _all(text, r"(?s)```(?:bash|sh)\n(.*?)```", 1)),
         F.array_sort(F.array_distinct(_all(text, BLOCKER, 1))).alias("blockers"),
-        F.slice(F.array_distinct(_all(text, r"(?U)https?://[\w.-]+[\w./?=&%-]*")), 1, 20).alias("urls"),
+        shown("urls", F.array_distinct(_all(text, r"(?U)https?://[\w.-]+[\w./?=&%-]*"))),
     )
 
 

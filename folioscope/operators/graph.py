@@ -16,7 +16,7 @@ def resolve_evidence(evidence: DataFrame, docs: DataFrame, beliefs: DataFrame) -
 
     docs: slug, author. beliefs: belief_id, persona, state. A slug named by both is a belief."""
     b = beliefs.select(F.col("belief_id").alias("slug"), F.col("state").alias("_state"), F.col("persona").alias("_persona"))
-    d = docs.select("slug", F.col("author").alias("_author")).dropDuplicates(["slug"]).withColumn("_doc", F.lit(True))
+    d = docs.groupBy("slug").agg(F.min("author").alias("_author")).withColumn("_doc", F.lit(True))  # the first author of a shared slug
     link = F.col("kind") == "link"
     j = evidence.join(b, "slug", "left").join(d, "slug", "left")
     target = (

@@ -1,10 +1,11 @@
 """Fusion of ranked lists, ranking signals, visibility and final assembly."""
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import disclosure as dis
-from ..functions.text import basename_slug, is_abstraction
+from ..functions.text import basename_slug, blank, is_abstraction
 from ..functions.admission import is_temporal
 from ..params import DEFAULTS
 
@@ -141,8 +142,17 @@ def order_hits(hits: DataFrame) -> DataFrame:
 
 def rerank(hits: DataFrame, scorer, top_n=DEFAULTS.rerank_head, priority_boost=DEFAULTS.priority_boost) -> DataFrame:
     """Re-scores the first `top_n` by a pair scorer (query, text) -> Series; the tail keeps its order."""
-    raw = F.pandas_udf(scorer, "double")(F.col("query"), F.col("text"))
     head = F.col("pos") <= top_n
+
+    @F.pandas_udf("double")
+    def head_only(query: pd.Series, text: pd.Series) -> pd.Series:
+        asked = query.notna()
+        out = pd.Series(float("nan"), index=query.index)
+        if asked.any():
+            out[asked] = scorer(query[asked], text[asked])
+        return out
+
+    raw = head_only(F.when(head, blank("query")), F.when(head, blank("text")))  # rows below the head send nothing
     rel = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_raw")))
     boosted = F.when(F.col("is_priority"), rel * priority_boost).otherwise(rel)
     d = hits.withColumn("_raw", raw).withColumns({
@@ -155,8 +165,6 @@ def rerank(hits: DataFrame, scorer, top_n=DEFAULTS.rerank_head, priority_boost=D
 
 def term_overlap(query, text):
     """Built-in pair scorer: shared terms minus one."""
-    import pandas as pd
-
     def one(q, t):
         return float(len(set(q.lower().split()) & set(t.lower().split())) - 1)
 

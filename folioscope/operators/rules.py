@@ -21,8 +21,9 @@ def core_rules(text: str, actions: DataFrame) -> DataFrame:
 def rule_idf(hits: DataFrame) -> DataFrame:
     """(action_id, token, idf, default_idf) over the documents supplied for each action."""
     n = hits.groupBy("action_id").agg(F.count(F.lit(1)).alias("n"))
+    tokens = hits.select("text").distinct().select("text", g.rule_tokens("text").alias("tokens"))
     df = (
-        hits.select("action_id", F.explode(g.rule_tokens("text")).alias("token"))
+        hits.select("action_id", "text").join(tokens, "text").select("action_id", F.explode("tokens").alias("token"))
         .groupBy("action_id", "token").agg(F.count(F.lit(1)).alias("df"))
     )
     d = df.join(n, "action_id").withColumn("idf", F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1.0)
@@ -39,12 +40,13 @@ def check_actions(hits: DataFrame, p=DEFAULTS) -> DataFrame:
 
     hits: action_id, action, rel_path, doc_type, text, pos. Only feedback documents may act as rules. Token sets meet
     inside the (action, line) row, so no pair of vocabularies is ever joined."""
-    rules = hits.filter("doc_type = 'feedback'").select(
-        "action_id", "action", "rel_path", "pos", F.posexplode(F.split("text", "\n")).alias("line_no", "raw")
-    )
-    rules = rules.select("*", F.btrim("raw", F.lit(" \t\r")).alias("line")).filter(g.is_directive("line"))
-    rows = pin(rules.select("action_id", "rel_path", "pos", "line_no", "line", "action"), a=g.rule_tokens("action"), r=g.rule_tokens("line"))
-    rows = pin(rows.drop("action"), matched=F.filter("a", lambda x: F.exists("r", lambda y: related(x, y))))
+    asked = hits.filter("doc_type = 'feedback'").select("action_id", "action", "rel_path", "pos", "text")
+    rules = asked.select("text").distinct().select("text", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+    rules = rules.select("text", "line_no", F.btrim("raw", F.lit(" \t\r")).alias("line")).filter(g.is_directive("line"))
+    rules = pin(rules, r=g.rule_tokens("line"))
+    actions = asked.select("action").distinct().select("action", g.rule_tokens("action").alias("a"))
+    rows = asked.join(rules, "text").join(actions, "action").select("action_id", "rel_path", "pos", "line_no", "line", "a", "r")
+    rows = pin(rows, matched=F.filter("a", lambda x: F.exists("r", lambda y: related(x, y))))
     rows = cut(rows.filter(F.size("matched") > 0))
     idf = cut(rule_idf(hits))
     line = ["action_id", "rel_path", "pos", "line_no"]

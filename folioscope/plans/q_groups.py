@@ -98,26 +98,26 @@ query("z03_write_risk", with_views([], """SELECT query_id, CASE WHEN verdict = '
     lambda s, p: _nearest(s, p).select("query_id", cl.write_risk(F.col("verdict"), F.col("kind"), F.col("confidence")).alias("w")).select("query_id", "w.tier", "w.autonomy"))
 
 # ---- archive ----------------------------------------------------------------
-# Held already: the documents with odd ids; those divisible by 15 are shredded.
+# Every document is archived; those divisible by 15 are shredded. For capture, the odd ids are the ones held already.
 
 
-def _held(s, p):
+def _held(s, p, some="true"):
     i = F.col("doc_id")
-    return table(s, p, "documents").filter("doc_id % 2 = 1").select(
+    return table(s, p, "documents").filter(some).select(
         r.content_id(F.concat(F.lit("v1"), "text")).alias("txid"), F.element_at(F.array(F.lit("private"), F.lit("team"), F.lit("public")), (i % 3 + 1).cast("int")).alias("namespace"),
         F.concat(F.lit("Doc "), i.cast("string")).alias("title"), r.extractive_snapshot("text").alias("snapshot"), F.lit('{"v":1}').alias("tags"), F.octet_length("text").alias("n_bytes"),
         i.cast("double").alias("created"), r.source_hash("text").alias("source_hash"), (i % 15 == 0).alias("shredded"), (i % 4 == 1).alias("embedded"), i.alias("chunk_id"))
 
 
-def _catalogue(s, p):
+def _catalogue(s, p, some="true"):
     """One row per txid, as an earlier capture would have left it."""
-    return ar.upsert_archives(_held(s, p).filter(F.lit(False)), _held(s, p)).drop("shredded", "embedded").withColumns(
+    return ar.upsert_archives(_held(s, p, some).filter(F.lit(False)), _held(s, p, some)).drop("shredded", "embedded").withColumns(
         {"shredded": F.col("chunk_id") % 15 == 0, "embedded": F.col("chunk_id") % 4 == 1})
 
 
 _HELD = """
 held AS (SELECT rtrim(translate(to_base64(unhex(sha256('v1' || text))), '+/', '-_'), '=') AS txid, (['private', 'team', 'public'])[(doc_id % 3 + 1)::INT] AS namespace, 'Doc ' || doc_id AS title, text, doc_id,
-   sha256(text) AS source_hash FROM documents WHERE doc_id % 2 = 1),
+   sha256(text) AS source_hash FROM documents),
 arch AS (SELECT *, doc_id % 15 = 0 AS shredded, doc_id % 4 = 1 AS embedded FROM held QUALIFY row_number() OVER (PARTITION BY txid ORDER BY doc_id DESC) = 1)"""
 
 
@@ -125,8 +125,8 @@ def _incoming(s, p):
     return table(s, p, "documents").select(F.col("doc_id").alias("record_id"), F.col("text").alias("payload"))
 
 
-query("h01_idempotent_capture", "WITH" + _HELD + " SELECT min(doc_id) AS record_id FROM documents WHERE sha256(text) NOT IN (SELECT source_hash FROM arch WHERE NOT shredded) GROUP BY sha256(text)")(
-    lambda s, p: ar.capture(_catalogue(s, p), _incoming(s, p)).select("record_id"))
+query("h01_idempotent_capture", "WITH" + _HELD.replace("FROM documents)", "FROM documents WHERE doc_id % 2 = 1)") + " SELECT min(doc_id) AS record_id FROM documents WHERE sha256(text) NOT IN (SELECT source_hash FROM arch WHERE NOT shredded) GROUP BY sha256(text)")(
+    lambda s, p: ar.capture(_catalogue(s, p, "doc_id % 2 = 1"), _incoming(s, p)).select("record_id"))
 query("s16_archive_upsert", "WITH" + _HELD + """, fresh AS (SELECT * REPLACE (title || ' again' AS title) FROM arch WHERE doc_id % 3 = 0)
  SELECT txid, title, shredded, embedded FROM arch WHERE doc_id % 3 <> 0 UNION ALL SELECT txid, title, false, false FROM fresh""")(
     lambda s, p: (lambda cat: ar.upsert_archives(cat, cat.filter("chunk_id % 3 = 0").withColumn("title", F.concat("title", F.lit(" again")))))(_catalogue(s, p)).select("txid", "title", "shredded", "embedded"))
@@ -141,7 +141,7 @@ def _keys(s, p):
 
 
 def _sealed(s, p, keys):
-    payloads = table(s, p, "documents").filter("doc_id % 2 = 1").select(r.content_id(F.concat(F.lit("v1"), "text")).alias("txid"), F.col("text").alias("payload")).dropDuplicates(["txid"])
+    payloads = table(s, p, "documents").select(r.content_id(F.concat(F.lit("v1"), "text")).alias("txid"), F.col("text").alias("payload")).dropDuplicates(["txid"])
     return ar.encrypt(payloads, keys)
 
 

@@ -455,7 +455,7 @@ query("p13_directive_line", with_views(["notes"], "SELECT doc_id, len(list_filte
     lambda s, p: table(s, p, "documents").select("doc_id", F.size(F.filter(
         t.lines(F.concat("text", F.lit("\n- Always keep line "), F.col("doc_id").cast("string"), F.lit("\nnever x"))), g.is_directive)).alias("directives")))
 
-_q("p14_open_claims", ["notes"], rf"SELECT rel_path, array_to_string(list_transform({sql_open_lines('body')}[1:3], lambda l: left(regexp_replace(l, '\s+', ' ', 'g'), 110)), '/') AS claims FROM notes",
+_q("p14_open_claims", ["notes"], rf"SELECT rel_path, array_to_string(list_transform({sql_open_lines('body')}, lambda l: regexp_replace(l, '\s+', ' ', 'g')), '/') AS claims FROM notes",
    _notes(lambda: F.array_join(d.open_claims("body"), "/").alias("claims")))
 
 _GSTOP = "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in a.GATE_STOP_WORDS) + ")"
@@ -491,6 +491,13 @@ SELECT rel_path, CASE WHEN days IS NULL THEN 'undated' WHEN days < 30 THEN 'acti
   SELECT rel_path, CASE WHEN k % 4 = 0 THEN {sql_days('iso')} END AS days FROM notes)""",
    _notes(lambda: d.age_band(d.days_since(F.regexp_extract("body", d.UPDATED_HEADER, 1), src.TODAY)).alias("band")))
 
-_q("z07_change_delta", ["docs"], """SELECT rel_path, title FROM docs WHERE mtime > 996710400.0 AND NOT ends_with(rel_path, 'MEMORY.md') ORDER BY rel_path LIMIT 25""",
-   lambda s, p: src.docs(s, p).filter((F.col("mtime") > src.NOW) & ~F.endswith("rel_path", F.lit("MEMORY.md")))
-   .select("rel_path", "title").orderBy("rel_path").limit(25))
+
+def change_delta(docs, since, most=None):
+    """Documents changed since a marker, in path order; all of them unless a report asks for the first `most`."""
+    changed = docs.filter((F.col("mtime") > since) & ~F.endswith("rel_path", F.lit("MEMORY.md"))).select("rel_path", "title").orderBy("rel_path")
+    return changed.limit(most) if most else changed
+
+
+_DELTA = "SELECT rel_path, title FROM docs WHERE mtime > 996710400.0 AND NOT ends_with(rel_path, 'MEMORY.md') ORDER BY rel_path"
+_q("z07_change_delta", ["docs"], _DELTA + " LIMIT 25", lambda s, p: change_delta(src.docs(s, p), src.NOW, 25))
+_q("z07_change_delta_all", ["docs"], _DELTA, lambda s, p: change_delta(src.docs(s, p), src.NOW))

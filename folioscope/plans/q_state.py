@@ -283,14 +283,24 @@ seen AS (SELECT rel_path, text, {_L} AS label, {_D} AS claimed, {sql_expired('te
   WHERE NOT contains(rel_path, '_archive') AND NOT contains(rel_path, 'archived-'))"""
 _q("q01_decidable", ["notes"], f"SELECT rel_path, expired, {sql_days('expired')} AS days FROM seen WHERE expired IS NOT NULL", lambda s, p: audit(src.raw_files(s, p), src.TODAY)[0], _SEEN)
 _q("q01_open_claims", ["notes"], rf"""SELECT rel_path, {sql_days('claimed')} AS days, label, claimed,
-   array_to_string(list_transform({sql_open_lines('text')}[1:3], lambda l: left(regexp_replace(l, '\s+', ' ', 'g'), 110)), ' / ') AS claims FROM seen WHERE volatility = 'open' AND {sql_days('claimed')} >= 30""",
+   array_to_string(list_transform({sql_open_lines('text')}, lambda l: regexp_replace(l, '\s+', ' ', 'g')), ' / ') AS claims FROM seen WHERE volatility = 'open' AND {sql_days('claimed')} >= 30""",
    lambda s, p: audit(src.raw_files(s, p), src.TODAY, since=30)[1], _SEEN)
 _q("a10_blind_spot", ["notes"], "SELECT count(*) AS scanned, count(*) FILTER (label IN ('file-dated', '')) AS undated, CAST(round_even(count(*) FILTER (label IN ('file-dated', '')) * 100 / count(*), 0) AS INT) AS pct FROM seen",
    lambda s, p: audit(src.raw_files(s, p), src.TODAY)[2], _SEEN)
 _q("p08_staleness_filters", ["notes"], f"SELECT rel_path, {sql_days('claimed')} AS days FROM seen WHERE volatility = 'open' AND starts_with(rel_path, 'furniture/') AND {sql_days('claimed')} >= 400",
    lambda s, p: audit(src.raw_files(s, p), src.TODAY, since=400, prefix="furniture/")[1].select("rel_path", "days"), _SEEN)
-_q("t06_stale_list", ["notes"], f"SELECT rel_path, {sql_days('claimed')} AS days FROM seen WHERE volatility = 'open' AND {sql_days('claimed')} >= 0 ORDER BY days DESC, rel_path LIMIT 20",
-   lambda s, p: audit(src.raw_files(s, p), src.TODAY)[1].select("rel_path", "days").orderBy(F.desc("days"), "rel_path").limit(20), _SEEN)
+
+
+def stale_list(ranked, most=None):
+    """Open claims by age, oldest first; all of them unless a report asks for the first `most`."""
+    ranked = ranked.orderBy(F.desc("days"), "rel_path")
+    return ranked.limit(most) if most else ranked
+
+
+_STALE = rf"""SELECT rel_path, {sql_days('claimed')} AS days, array_to_string(list_transform({sql_open_lines('text')}, lambda l: regexp_replace(l, '\s+', ' ', 'g')), ' / ') AS claims
+   FROM seen WHERE volatility = 'open' AND {sql_days('claimed')} >= 0 ORDER BY days DESC, rel_path"""
+_q("t06_stale_list", ["notes"], _STALE + " LIMIT 20", lambda s, p: stale_list(audit(src.raw_files(s, p), src.TODAY)[1], 20).select("rel_path", "days", "claims"), _SEEN)
+_q("t06_stale_list_all", ["notes"], _STALE, lambda s, p: stale_list(audit(src.raw_files(s, p), src.TODAY)[1]).select("rel_path", "days", "claims"), _SEEN)
 _q("a09_newest_as_of", ["notes"], "SELECT rel_path, CASE WHEN k % 9 = 0 THEN CAST(day + 10 AS VARCHAR) END AS newest FROM notes",
    lambda s, p: src.notes(s, p).select("rel_path", F.array_max(F.regexp_extract_all("body", F.lit(d.AS_OF), F.lit(1))).alias("newest")))
 _q("q04_record_pack", ["notes"], "SELECT rule, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN claim_date = '' THEN 'no-date' END, CASE evidence_raw WHEN 'observed' THEN 'observed-shipped' WHEN 'guess' THEN 'no-evidence' END], lambda x: x IS NOT NULL)) AS rule FROM notes) GROUP BY ALL",

@@ -49,6 +49,13 @@ def _plain(value):
     return "" if value is None else str(value)
 
 
+def _texted(value):
+    """Metadata with text keys at every level, so that it can be sorted and written."""
+    if isinstance(value, dict):
+        return {_plain(k): _texted(v) for k, v in value.items()}
+    return [_texted(v) for v in value] if isinstance(value, (list, tuple, set)) else value
+
+
 def parse_one(text):
     """Body and metadata of one file; unreadable metadata keeps the whole text as the body and says so."""
     stripped = text.strip()
@@ -58,8 +65,8 @@ def parse_one(text):
     if len(parts) < 3:
         return stripped, {}, True
     try:
-        meta = yaml.load(parts[1], Loader=_LOADER)
-    except yaml.YAMLError:
+        meta = _texted(yaml.load(parts[1], Loader=_LOADER))
+    except Exception:  # whatever is wrong with one file's metadata, the document stays
         return text, {}, False
     return parts[2].strip(), meta if isinstance(meta, dict) else {}, True
 
