@@ -218,17 +218,26 @@ def missing_syntheses(catalogue_df: DataFrame, existing: DataFrame) -> DataFrame
     return catalogue_df.join(existing.select("signature"), "signature", "left_anti")
 
 
-def merge_candidates(members: DataFrame) -> DataFrame:
-    """Per chunk the lowest other chunk of its group that lives in a different file, for review.
-    members: cluster_id, chunk_id, rel_path. Two lowest files per group are enough to answer for every member."""
-    lows = members.groupBy("cluster_id", "rel_path").agg(F.min("chunk_id").alias("lo"))
-    w = Window.partitionBy("cluster_id").orderBy("lo")
-    two = lows.withColumn("n", F.row_number().over(w)).filter("n <= 2")
-    best = two.groupBy("cluster_id").agg(
-        F.max(F.when(F.col("n") == 1, F.struct("rel_path", "lo"))).alias("one"), F.max(F.when(F.col("n") == 2, F.struct("rel_path", "lo"))).alias("two")
-    ).filter("two is not null")
-    return members.join(best, "cluster_id").select(
-        "chunk_id", F.when(F.col("rel_path") != F.col("one.rel_path"), F.col("one.lo")).otherwise(F.col("two.lo")).alias("merge_with")
+def merge_candidates(vectors: DataFrame, threshold=DEFAULTS.cluster_threshold) -> DataFrame:
+    """(chunk_id, merge_with, cosine, n_partners): for review, the closest chunk of a different file at `threshold` or
+    more, the lowest of equals. vectors: chunk_id, embedding, rel_path."""
+
+    def work(a, b, same):
+        rows = []
+        if len(a) and len(b):
+            cos = np.round(_unit(a["embedding"]) @ _unit(b["embedding"]).T, 9)
+            near = (cos >= threshold) & (a["rel_path"].to_numpy()[:, None] != b["rel_path"].to_numpy()[None, :])
+            ia, ib = a["chunk_id"].to_numpy(), b["chunk_id"].to_numpy()
+            for ids, others, hit, c in ((ia, ib, near, cos),) if same else ((ia, ib, near, cos), (ib, ia, near.T, cos.T)):
+                best = np.where(hit, c, -2.0).max(axis=1)
+                first = np.where(hit & (c == best[:, None]), others[None, :], np.iinfo(np.int64).max).min(axis=1)
+                rows += [(ids[r], first[r], best[r], hit[r].sum()) for r in np.flatnonzero(hit.any(axis=1))]
+        return pd.DataFrame(rows, columns=["chunk_id", "merge_with", "cosine", "n"])
+
+    part = _block_pairs(vectors.select("chunk_id", "embedding", "rel_path"), work, "chunk_id long, merge_with long, cosine double, n long")
+    best = F.max(F.struct("cosine", (-F.col("merge_with")).alias("other"))).alias("best")
+    return part.groupBy("chunk_id").agg(best, F.sum("n").alias("n_partners")).select(
+        "chunk_id", (-F.col("best.other")).alias("merge_with"), F.col("best.cosine").alias("cosine"), "n_partners"
     )
 
 

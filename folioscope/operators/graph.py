@@ -8,7 +8,7 @@ from ..params import DEFAULTS
 from ..session import cut
 
 UNSOUND = ("draft", "retracted")
-NAMED = 5  # examples listed in a check's detail
+SHOWN = 5  # examples in the text of a check; `gate_details` has all of them
 
 
 def resolve_evidence(evidence: DataFrame, docs: DataFrame, beliefs: DataFrame) -> DataFrame:
@@ -85,9 +85,9 @@ def ground(edges: DataFrame, starts: DataFrame) -> DataFrame:
     )
 
 
-def ground_summary(beliefs: DataFrame, items: DataFrame) -> DataFrame:
-    """Per belief: depth, numbers of distinct roots, of roots written by someone else, of each defect, and up to five
-    examples of each defect."""
+def ground_summary(beliefs: DataFrame, items: DataFrame, shown: int = SHOWN) -> DataFrame:
+    """Per belief: depth, numbers of distinct roots, of roots written by someone else, of each defect, and the first
+    `shown` examples of each defect."""
     d = items.join(beliefs.select("belief_id", "persona"), "belief_id")
 
     def n(category):
@@ -100,7 +100,7 @@ def ground_summary(beliefs: DataFrame, items: DataFrame) -> DataFrame:
         *[n(c).alias(f"n_{c}") for c in ("unresolved", "unattested", "unsound", "cycle")],
     )
     first = Window.partitionBy("belief_id", "category").orderBy("item")
-    few = items.filter("category <> 'root'").withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= NAMED)
+    few = items.filter("category <> 'root'").withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= shown)
     names = few.groupBy("belief_id").agg(*[
         F.array_join(F.array_sort(F.collect_list(F.when(F.col("category") == c, F.col("item")))), ", ").alias(f"some_{c}")
         for c in ("unresolved", "unattested", "unsound", "cycle")
@@ -113,17 +113,18 @@ def ground_summary(beliefs: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def rivals(beliefs: DataFrame, supersessions: DataFrame) -> DataFrame:
-    """Per belief how many promoted beliefs claim its subject without being declared superseded, and the first of them.
+def rivals(beliefs: DataFrame, supersessions: DataFrame, asked: DataFrame = None) -> DataFrame:
+    """Per asked belief (all by default) how many promoted beliefs claim its subject without being declared superseded, and the first of them.
 
     Counts are aggregated per subject before the join, so a hot subject costs one row per belief, never a pair."""
+    asked = beliefs if asked is None else asked
     promoted = beliefs.filter("state = 'promoted' and subject <> ''")
     per_subject = promoted.groupBy("subject").agg(F.count(F.lit(1)).alias("n_promoted"))
     first = promoted.groupBy("subject").agg(F.min("belief_id").alias("first_id"))
-    mine = beliefs.select("belief_id", "rel_path", "subject", "state").join(per_subject.join(first, "subject"), "subject")
+    mine = asked.select("belief_id", "rel_path", "subject", "state").join(per_subject.join(first, "subject"), "subject")
     # rivals a belief declares replaced: bounded by its own supersession edges
     declared = (
-        beliefs.select("belief_id", "rel_path", "subject")
+        asked.select("belief_id", "rel_path", "subject")
         .join(supersessions.select(F.col("src_path").alias("rel_path"), F.col("tgt_slug").alias("other")).distinct(), "rel_path")
         .join(promoted.select(F.col("belief_id").alias("other"), F.col("subject").alias("other_subject")), "other")
         .filter("subject = other_subject and other <> belief_id")
@@ -135,14 +136,32 @@ def rivals(beliefs: DataFrame, supersessions: DataFrame) -> DataFrame:
     ).filter("n_rivals > 0")
 
 
+def rival_pairs(beliefs: DataFrame, supersessions: DataFrame, asked: DataFrame) -> DataFrame:
+    """(belief_id, rival): every promoted belief that claims an asked belief's subject and is not declared superseded."""
+    promoted = beliefs.filter("state = 'promoted' and subject <> ''").select(F.col("belief_id").alias("rival"), "subject")
+    declared = supersessions.select(F.col("src_path").alias("rel_path"), F.col("tgt_slug").alias("rival")).distinct()
+    pairs = asked.select("belief_id", "rel_path", "subject").join(promoted, "subject").filter("belief_id <> rival")
+    return pairs.join(declared, ["rel_path", "rival"], "left_anti").select("belief_id", "rival")
+
+
+def gate_details(beliefs: DataFrame, items: DataFrame, supersessions: DataFrame, asked: DataFrame = None) -> DataFrame:
+    """(belief_id, code, item): everything that the checks G1, G2 and G5 found, one row each."""
+    codes = {"unresolved": "G1", "unattested": "G1", "cycle": "G2", "unsound": "G2"}
+    code = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])[F.col("category")]
+    found = items.filter(F.col("category").isin(*codes)).select("belief_id", code.alias("code"), "item")
+    rival = rival_pairs(beliefs, supersessions, beliefs if asked is None else asked)
+    return found.unionByName(rival.select("belief_id", F.lit("G5").alias("code"), F.col("rival").alias("item")))
+
+
 def gate(beliefs: DataFrame, evidence: DataFrame, edges: DataFrame, supersessions: DataFrame, today: str,
-         max_depth=DEFAULTS.belief_max_depth, items: DataFrame = None) -> DataFrame:
-    """(belief_id, code, passed, detail): every promotion check of every belief."""
-    items = items if items is not None else cut(ground(edges, beliefs))
+         max_depth=DEFAULTS.belief_max_depth, items: DataFrame = None, asked: DataFrame = None) -> DataFrame:
+    """(belief_id, code, passed, detail): every promotion check of every asked belief (all by default)."""
+    asked = beliefs if asked is None else asked
+    items = items if items is not None else cut(ground(edges, asked))
     cited = evidence.groupBy("belief_id").agg(F.count(F.lit(1)).alias("n_cited"))
     d = (
-        beliefs.join(ground_summary(beliefs, items), "belief_id").join(cited, "belief_id", "left")
-        .join(rivals(beliefs, supersessions), "belief_id", "left")
+        asked.join(ground_summary(asked, items), "belief_id").join(cited, "belief_id", "left")
+        .join(rivals(beliefs, supersessions, asked), "belief_id", "left")
         .withColumns({"n_cited": F.coalesce("n_cited", F.lit(0)), "n_rivals": F.coalesce("n_rivals", F.lit(0))})
     )
     due = F.try_to_date(F.left("verify_by", F.lit(10)), "yyyy-MM-dd")

@@ -68,11 +68,13 @@ query("g07_cluster_catalogue", with_views(["docs"], "SELECT cluster_id, part, si
     lambda s, p: cl.catalogue(_members(s, p)).select("cluster_id", "part", "size", "n_sources", "newest", "sources"))
 query("s18_synthesis_sink", with_views(["docs"], "SELECT signature, cluster_id, part FROM cat WHERE signature NOT IN (SELECT signature FROM cat WHERE cluster_id % 20 = 0)", _MEM))(
     lambda s, p: (lambda cat: cl.missing_syntheses(cat, cat.filter("cluster_id % 20 = 0").select("signature").distinct()).select("signature", "cluster_id", "part"))(cut(cl.catalogue(_members(s, p)))))
-query("z04_merge_candidates", with_views(["docs"], """SELECT a.chunk_id, min(b.chunk_id) AS merge_with FROM mm a JOIN mm b ON a.cluster_id = b.cluster_id AND a.rel_path <> b.rel_path GROUP BY ALL""",
-      _MEM + ", mm AS (SELECT label AS cluster_id, m.chunk_id, CASE WHEN m.chunk_id < 1000000 THEN '' ELSE 'copy/' END || docs.rel_path AS rel_path FROM member m JOIN lab USING (rep) JOIN vv ON vv.chunk_id = m.chunk_id JOIN docs ON docs.k = origin)"))(
-    lambda s, p: cl.merge_candidates(
-        cl.groups(near_copies(s, p)).join(near_copies(s, p).select("chunk_id", "origin"), "chunk_id").join(src.docs(s, p).select(F.col("k").alias("origin"), "rel_path"), "origin")
-        .withColumn("rel_path", F.when(F.col("chunk_id") < 1000000, F.col("rel_path")).otherwise(F.concat(F.lit("copy/"), "rel_path")))))
+query("z04_merge_candidates", with_views(["docs"], """SELECT chunk_id, merge_with, round(cosine, 6) AS cosine, n_partners FROM (
+  SELECT a.chunk_id, b.chunk_id AS merge_with, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS cosine, count(*) OVER (PARTITION BY a.chunk_id) AS n_partners
+  FROM mm a JOIN mm b ON a.rel_path <> b.rel_path WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) >= 0.92)
+  QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY cosine DESC, merge_with) = 1""",
+      _V + ", mm AS (SELECT chunk_id, embedding, CASE WHEN chunk_id < 1000000 THEN '' ELSE 'copy/' END || docs.rel_path AS rel_path FROM vv JOIN docs ON docs.k = origin)"))(
+    lambda s, p: cl.merge_candidates(near_copies(s, p).join(src.docs(s, p).select(F.col("k").alias("origin"), "rel_path"), "origin")
+        .withColumn("rel_path", F.when(F.col("chunk_id") < 1000000, F.col("rel_path")).otherwise(F.concat(F.lit("copy/"), "rel_path")))).withColumn("cosine", F.round("cosine", 6)))
 query("j08_clusterable_chunks", with_views(["docs"], "SELECT doc_id AS chunk_id, mtime FROM documents JOIN docs ON docs.k = doc_id WHERE doc_id IN (SELECT vec_id FROM embeddings) AND NOT (rel_path ILIKE 'abstraction-%' OR rel_path ILIKE '%/abstraction_%')"))(
     lambda s, p: cl.clusterable(c.chunks(s, p), c.vectors(s, p), src.docs(s, p)).select("chunk_id", "mtime"))
 

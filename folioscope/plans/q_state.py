@@ -238,14 +238,21 @@ codes AS (SELECT belief_id, 'G' || i AS code, coalesce(ok[i], false) AS passed F
   UNION ALL SELECT belief_id, 'G7a', countersigned_by <> '' AND countersigned_by <> persona FROM checks WHERE impact = 'action')"""
 
 
-def _gate(s, p):
-    return g.gate(src.beliefs(s, p), src.belief_evidence(s, p), _edges(s, p), src.supersessions(src.notes(s, p)), src.TODAY)
+def _gate(s, p, asked=None):
+    return g.gate(src.beliefs(s, p), src.belief_evidence(s, p), _edges(s, p), src.supersessions(src.notes(s, p)), src.TODAY, asked=asked)
+
+
+_q("g02_gate_details", GRAPH_VIEWS, """SELECT belief_id, CASE WHEN target IN ('unresolved', 'unattested') THEN 'G1' ELSE 'G2' END AS code, CASE WHEN target = 'unsound' THEN item || ' (' || state || ')' ELSE item END AS item FROM per
+   WHERE target IN ('unresolved', 'unattested', 'unsound') OR (target = 'belief' AND (times > 1 OR item = belief_id))
+   UNION ALL SELECT a.belief_id, 'G5', b.belief_id FROM beliefs a JOIN beliefs b ON a.subject = b.subject AND a.subject <> '' AND b.state = 'promoted' AND a.belief_id <> b.belief_id
+   WHERE NOT EXISTS (SELECT 1 FROM supersessions s WHERE s.src_path = a.rel_path AND s.tgt_slug = b.belief_id)""",
+   lambda s, p: (lambda b: g.gate_details(b, g.ground(_edges(s, p), b), src.supersessions(src.notes(s, p))))(src.beliefs(s, p)), _EDGES)
 
 
 _q("g02_promotion_gate", GRAPH_VIEWS, "SELECT belief_id, code, passed FROM codes", lambda s, p: _gate(s, p).select("belief_id", "code", "passed"), _GATE)
 _q("g03_promote", GRAPH_VIEWS, """SELECT belief_id, CASE WHEN state = 'draft' AND ok THEN 'promoted' ELSE state END AS state, CASE WHEN state = 'draft' AND ok THEN '2001-08-02' ELSE '' END AS promoted_at
    FROM beliefs JOIN (SELECT belief_id, bool_and(passed) AS ok FROM codes GROUP BY ALL) USING (belief_id)""",
-   lambda s, p: g.promote(src.beliefs(s, p), _gate(s, p), src.beliefs(s, p).filter("state = 'draft'"), src.TODAY).select("belief_id", "state", "promoted_at"), _GATE)
+   lambda s, p: (lambda drafts: g.promote(src.beliefs(s, p), _gate(s, p, drafts), drafts, src.TODAY))(src.beliefs(s, p).filter("state = 'draft'")).select("belief_id", "state", "promoted_at"), _GATE)
 _CASC = """
 casc(belief_id, hops) AS (SELECT belief_id, 0 FROM beliefs WHERE state = 'needs_review' UNION SELECT e.belief_id, c.hops + 1 FROM casc c JOIN belief_evidence e ON e.kind = 'link' AND e.slug = c.belief_id JOIN beliefs b ON b.belief_id = e.belief_id AND b.state = 'promoted' WHERE c.hops < 60),
 targets AS (SELECT belief_id, min(hops) AS hops FROM casc WHERE hops > 0 GROUP BY ALL)"""
