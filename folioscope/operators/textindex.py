@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 
 from ..functions.admission import match_phrases
 from ..functions.text import col, strip_accents
-from ..params import MAX_BROADCAST_QUERIES
+from ..params import REQUEST_BLOCK
 from .best import RunningBest
-from .bounded import rows_if_small
+from .bounded import over_blocks
 
 # Fixed values of the ranking function.
 K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
 
 QUERY_BLOCK = 256  # queries scored together inside one task
-ROW_BLOCK = 4096  # chunks scored together inside one task
-SALTS = 16
+_SCORED = "query_id long, chunk_id long, kw_score double"
+ROW_BLOCK = 1024  # chunks scored together inside one task
 
 
 def tokens(text):
@@ -69,15 +69,15 @@ class _Matcher:
         ids = pc.fill_null(pc.index_in(flat, value_set=value_set), -1).to_numpy(zero_copy_only=False)
         row_of = np.repeat(np.arange(len(lengths)), lengths)
         found = [(row_of[ids >= 0], self._single_ids(ids[ids >= 0]))]
+        places = np.argsort(ids, kind="stable") if self.multi else None
+        bounds = np.searchsorted(ids[places], np.arange(len(self.vocab) + 1)) if self.multi else None
         for i, ph in self.multi:
-            n = len(ph)
-            if len(ids) < n:
-                continue
-            start = np.ones(len(ids) - n + 1, dtype=bool)
+            rarest = int(np.argmin(bounds[ph + 1] - bounds[ph]))
+            at = places[bounds[ph[rarest]]:bounds[ph[rarest] + 1]] - rarest
+            at = at[(at >= 0) & (at + len(ph) <= len(ids))]
             for j, w in enumerate(ph):
-                start &= ids[j:len(ids) - n + 1 + j] == w
-            at = np.flatnonzero(start)
-            at = at[row_of[at] == row_of[at + n - 1]]
+                at = at[ids[at + j] == w]
+            at = at[row_of[at] == row_of[at + len(ph) - 1]]
             found.append((row_of[at], np.full(len(at), i)))
         rows = np.concatenate([f[0] for f in found])
         phr = np.concatenate([f[1] for f in found]).astype(np.int64)
@@ -127,7 +127,7 @@ def _scan(index, rows, depth):
     matcher = _Matcher(phrases)
     df, n_docs, total = _phrase_statistics(index, matcher)
     if not n_docs:
-        return None
+        return index.sparkSession.createDataFrame([], _SCORED)
     idf, avg_len = _idf(n_docs, df), max(total / n_docs, 1e-9)
     ids = sorted({r["query_id"] for r in rows})
     pos = {q: i for i, q in enumerate(ids)}
@@ -135,13 +135,12 @@ def _scan(index, rows, depth):
 
     def score(batches):
         value_set = pa.array(matcher.vocab, pa.string())
-        blocks = []
+        blocks = []  # per block of requests, ordered by phrase: where a phrase begins, how many requests score it, which, how much
         for lo in range(0, len(ids), QUERY_BLOCK):
             part = triples[(triples[:, 0] >= lo) & (triples[:, 0] < lo + QUERY_BLOCK)]
-            used = np.unique(part[:, 1])
-            w = np.zeros((len(used), min(QUERY_BLOCK, len(ids) - lo)))
-            np.add.at(w, (np.searchsorted(used, part[:, 1]), part[:, 0] - lo), part[:, 2])
-            blocks.append((lo, used, w))
+            part = part[np.argsort(part[:, 1], kind="stable")]
+            begins = np.searchsorted(part[:, 1], np.arange(len(phrases) + 1))
+            blocks.append((lo, min(QUERY_BLOCK, len(ids) - lo), begins[:-1], np.diff(begins), part[:, 0] - lo, part[:, 2]))
         best = RunningBest(depth, len(ids))
         for b in batches:
             for off in range(0, b.num_rows, ROW_BLOCK):
@@ -149,69 +148,27 @@ def _scan(index, rows, depth):
                 chunk_ids = piece.column("chunk_id").to_numpy(zero_copy_only=False)
                 row, phr, tf, lengths = matcher.counts(piece.column("tokens"), value_set)
                 sat = idf[phr] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[row] / avg_len))
-                for lo, used, w in blocks:
-                    at = np.searchsorted(used, phr)
-                    ok = (at < len(used)) & (used[np.minimum(at, len(used) - 1)] == phr)
-                    dense = np.zeros((piece.num_rows, len(used)))
-                    dense[row[ok], at[ok]] = sat[ok]
-                    scores = np.round(dense @ w, 9)
-                    for q in range(scores.shape[1]):
+                for lo, width, begins, many, asked_by, weight in blocks:
+                    times = many[phr]  # every hit meets only the requests that score its phrase
+                    use = np.repeat(begins[phr], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    cell = np.repeat(row, times) * width + asked_by[use]
+                    total = np.bincount(cell, weights=np.repeat(sat, times) * weight[use], minlength=piece.num_rows * width)
+                    scores = np.round(total, 9).reshape(piece.num_rows, width)
+                    for q in np.flatnonzero(scores.any(axis=0)):
                         hit = np.flatnonzero(scores[:, q] > 0)
                         best.add(ids[lo + q], chunk_ids[hit], -scores[hit, q])
         q, c, k = best.result()
         yield pa.RecordBatch.from_pydict({"query_id": q, "chunk_id": c, "kw_score": -k})
 
-    return index.select("chunk_id", "tokens").mapInArrow(score, "query_id long, chunk_id long, kw_score double")
+    return index.select("chunk_id", "tokens").mapInArrow(score, _SCORED)
 
 
-def _shuffled(index, phrases):
-    """The same scores with joins only, for a query side of any size. Hot terms are salted."""
-    wanted = phrases.select(F.array_join("phrase", " ").alias("phrase"), "query_id", "weight")
-    known = wanted.select("phrase").distinct()
-    sizes = [r[0] for r in phrases.select(F.size("phrase")).distinct().collect()]  # at most 6 values
-    stats = index.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("tokens")).alias("avg_len"))
-
-    def grams(n):
-        last = F.size("tokens") - (n - 1)
-        return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice("tokens", i, n), " ")))
-
-    tf = (
-        index.select(
-            "chunk_id", F.size("tokens").alias("len"),
-            F.explode(F.flatten(F.array_compact(F.array(*[grams(n) for n in sizes])))).alias("phrase"),
-        )
-        .join(known, "phrase", "left_semi")
-        .groupBy("phrase", "chunk_id", "len").agg(F.count(F.lit(1)).alias("tf"))
-    )
-    df = tf.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
-    n_docs, avg_len = stats.select("n_docs").scalar(), stats.select("avg_len").scalar()
-    raw = F.ln((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = wanted.join(df, "phrase").select(
-        "phrase", "query_id", (F.col("weight") * F.when(raw > 0, raw).otherwise(F.lit(IDF_FLOOR))).alias("w"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"),
-    )
-    sat = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / avg_len))
-    return (
-        tf.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int"))
-        .withColumn("sat", sat)
-        .join(weights, ["phrase", "salt"])
-        .groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("w") * F.col("sat")), 9).alias("kw_score"))
-        .filter("kw_score > 0")
-    )
-
-
-def bm25_topn(queries: DataFrame, index: DataFrame, depth: int, max_small=MAX_BROADCAST_QUERIES) -> DataFrame:
-    """(query_id, chunk_id, kw_score, kw_rank), the best `depth` chunks per query, best first."""
-    phrases = query_phrases(queries)
-    scored = None
-    if rows_if_small(queries.select("query_id"), max_small) is not None:
-        rows = rows_if_small(phrases, max_small * 64)
-        if rows is not None:
-            scored = _scan(index, rows, depth) if rows else None
-            if scored is None:
-                return index.sparkSession.createDataFrame([], "query_id long, chunk_id long, kw_score double, kw_rank int")
+def bm25_topn(queries: DataFrame, index: DataFrame, depth: int, block: int = REQUEST_BLOCK) -> DataFrame:
+    """(query_id, chunk_id, kw_score, kw_rank), the best `depth` chunks per query, best first. Every block of requests is
+    scored inside a scan of the index; what is shuffled is each task's best `depth` per request."""
+    scored = over_blocks(query_phrases(queries), block, lambda rows: _scan(index, rows, depth))
     if scored is None:
-        scored = _shuffled(index, phrases)
+        return index.sparkSession.createDataFrame([], _SCORED + ", kw_rank int")
     best = Window.partitionBy("query_id").orderBy(F.desc("kw_score"), "chunk_id")
     return scored.withColumn("kw_rank", F.row_number().over(best)).filter(F.col("kw_rank") <= depth)
 

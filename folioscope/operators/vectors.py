@@ -6,12 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col
-from ..params import MAX_BROADCAST_QUERIES
+from ..params import REQUEST_BLOCK
 from .best import RunningBest
-from .bounded import rows_if_small
+from .bounded import over_blocks
 
-CORPUS_BLOCK = 8192  # vectors per task group in the shuffled plan
-QUERY_BLOCK = 1024
 _SCHEMA = "query_id long, chunk_id long, dist double"
 
 
@@ -63,36 +61,14 @@ def _scan(vectors, rows, depth):
     return vectors.select("chunk_id", "embedding").mapInPandas(score, _SCHEMA)
 
 
-def _blocks(queries, vectors, depth):
-    """Every pair of bounded blocks is one task; nothing grows with either side."""
-    n_corpus = max(1, -(-vectors.count() // CORPUS_BLOCK))
-    n_query = max(1, -(-queries.count() // QUERY_BLOCK))
-    left = vectors.select(
-        "chunk_id", "embedding", F.pmod(F.xxhash64("chunk_id"), F.lit(n_corpus)).cast("int").alias("cb"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).alias("qb"),
-    )
-    right = queries.select(
-        "query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(n_query)).cast("int").alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_corpus - 1))).alias("cb"),
-    )
-
-    def pair(c, q):
-        best = RunningBest(depth, max(len(q), 1))
-        if len(c) and len(q):
-            _add_nearest(best, q["query_id"].to_numpy(), _matrix(q["embedding"]), c["chunk_id"].to_numpy(), _matrix(c["embedding"]))
-        return _frame(best)
-
-    return left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(pair, _SCHEMA)
-
-
-def knn_topn(queries: DataFrame, vectors: DataFrame, depth: int, max_small=MAX_BROADCAST_QUERIES) -> DataFrame:
-    """(query_id, chunk_id, dist, vec_rank), the `depth` nearest vectors per query, exact."""
+def knn_topn(queries: DataFrame, vectors: DataFrame, depth: int, block: int = REQUEST_BLOCK) -> DataFrame:
+    """(query_id, chunk_id, dist, vec_rank), the `depth` nearest vectors per query, exact. Every block of requests is
+    compared inside a scan of the vectors."""
     q = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
     v = vectors.filter(F.col("embedding").isNotNull())
-    rows = rows_if_small(q, max_small)
-    if rows is not None and not rows:
+    near = over_blocks(q, block, lambda rows: _scan(v, rows, depth))
+    if near is None:
         return vectors.sparkSession.createDataFrame([], _SCHEMA + ", vec_rank int")
-    near = _scan(v, rows, depth) if rows is not None else _blocks(q, v, depth)
     best = Window.partitionBy("query_id").orderBy("dist", "chunk_id")
     return near.withColumn("vec_rank", F.row_number().over(best)).filter(F.col("vec_rank") <= depth)
 

@@ -48,6 +48,5 @@ class Params:
 
 DEFAULTS = Params()
 
-# A query side is held in memory on the driver and in every task only up to this many rows; beyond it the
-# operators switch to a shuffled plan.
-MAX_BROADCAST_QUERIES = 2048
+# Requests are answered in blocks of this many: one block is held by the driver and by every task at a time.
+REQUEST_BLOCK = 2048

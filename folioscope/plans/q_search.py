@@ -7,6 +7,7 @@ from ..operators import rank as R
 from ..operators import textindex as ti
 from ..operators import vectors as vx
 from ..params import DEFAULTS
+from ..session import written
 from ..sources import corpus as c
 from ..sources import notes as src
 from .catalog import query, table
@@ -108,7 +109,7 @@ query("r02_exact_knn", "WITH" + REQ + "," + VEC + f" SELECT query_id, chunk_id,
     lambda s, p: _knn(s, p).select("query_id", "chunk_id", "vec_rank", F.round("dist", 6).alias("dist")))
 
 query("j16_block_knn", "WITH" + REQ + "," + VEC + f" SELECT query_id, chunk_id, vec_rank, round(dist, 6) AS dist FROM vecr WHERE vec_rank <= {DEPTH}")(
-    lambda s, p: vx.knn_topn(c.requests(s, p), c.vectors(s, p), DEPTH, max_small=0).select("query_id", "chunk_id", "vec_rank", F.round("dist", 6).alias("dist")))
+    lambda s, p: vx.knn_topn(c.requests(s, p), c.vectors(s, p), DEPTH, block=64).select("query_id", "chunk_id", "vec_rank", F.round("dist", 6).alias("dist")))
 
 query("t01_knn_first_ten", "WITH" + REQ + "," + VEC + " SELECT query_id, chunk_id FROM vecr WHERE vec_rank <= 10")(
     lambda s, p: vx.knn_topn(c.requests(s, p), c.vectors(s, p), 10).select("query_id", "chunk_id"))
@@ -135,13 +136,13 @@ kwr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kw_score DES
 _BM_COLS = "SELECT query_id, chunk_id, kw_rank, round(kw_score, 6) AS kw_score FROM kwr WHERE kw_rank <= 40"
 
 
-def _bm(s, p, small):
-    return ti.bm25_topn(c.sentences(s, p), ti.tokenise(c.lines(s, p)), 40, max_small=small).select(
+def _bm(s, p, block):
+    return ti.bm25_topn(c.sentences(s, p), written(ti.tokenise(c.lines(s, p)), "tokens"), 40, block=block).select(
         "query_id", "chunk_id", "kw_rank", F.round("kw_score", 6).alias("kw_score"))
 
 
 query("r04_bm25_lines", "WITH" + _LINES + _BM_COLS)(lambda s, p: _bm(s, p, 2048))
-query("j15_bm25_by_joins", "WITH" + _LINES + _BM_COLS)(lambda s, p: _bm(s, p, 0))
+query("j15_bm25_by_joins", "WITH" + _LINES + _BM_COLS)(lambda s, p: _bm(s, p, 64))
 query("t02_bm25_first_ten", "WITH" + REQ + "," + TEXT + " SELECT query_id, chunk_id FROM kwr WHERE kw_rank <= 10")(
     lambda s, p: ti.bm25_topn(c.requests(s, p), ti.tokenise(c.chunks(s, p)), 10).select("query_id", "chunk_id"))
 query("a04_bm25_statistics", "WITH" + REQ + "," + TEXT + " SELECT term, df, round(idf, 6) AS idf, round(avg_len, 6) AS avg_len FROM df, stats")(

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import disclosure as dis
 from ..functions.text import basename_slug
 from ..operators import rank as R
-from ..operators.bounded import restrict, rows_if_small
+from ..operators.bounded import restrict
 from ..operators.textindex import bm25_topn, tokenise
 from ..operators.vectors import knn_topn
-from ..params import DEFAULTS, MAX_BROADCAST_QUERIES
-from ..session import cut
+from ..params import DEFAULTS, REQUEST_BLOCK
+from ..session import cut, written
 
 REQUEST_DEFAULTS = {
     "k": 10, "doc_type": None, "priority_only": False, "recency": False, "persona": "",
@@ -33,7 +33,8 @@ class Corpus:
     index: DataFrame = None  # chunk_id, tokens; built from the chunks when absent
 
     def token_index(self):
-        return self.index if self.index is not None else tokenise(self.chunks)
+        """Written once per search: it is read for the statistics and for the scores."""
+        return self.index if self.index is not None else written(tokenise(self.chunks), "tokens")
 
 
 def complete(requests: DataFrame) -> DataFrame:
@@ -55,78 +56,82 @@ def refuse_out_of_scope(requests: DataFrame):
     return requests.filter(doc_type_ok), refused
 
 
-def _depth(requests, small, p):
+def _depth(requests, p):
     ks = requests.select(F.max("k")).collect()[0][0]
     return p.over_fetch(ks or 1)
 
 
-def _attach(cand, corpus, requests, small):
-    """Chunk and document columns for the candidates; the candidates are the small side."""
-    side = F.broadcast(cand) if small else cand
-    d = corpus.chunks.join(side, "chunk_id")
-    d = F.broadcast(d) if small else d
-    docs = corpus.docs.select(*DOC_COLUMNS)
+def _attach(cand, corpus, requests):
+    """Chunk and document columns for the candidates, without the texts."""
+    d = corpus.chunks.drop("text").join(cand, "chunk_id")
     asked = requests.drop("embedding").withColumnRenamed("doc_type", "asked_type")
-    asked = F.broadcast(asked) if small else asked
-    return docs.join(d, "rel_path").join(asked, "query_id").withColumns({
+    return corpus.docs.select(*DOC_COLUMNS).join(d, "rel_path").join(asked, "query_id").withColumns({
         "slug": basename_slug("rel_path"), "boosts": F.create_map().cast("map<string,double>"),
     })
 
 
-def hybrid_search(requests: DataFrame, corpus: Corpus, now: float, p=DEFAULTS, scorer=None, max_small=MAX_BROADCAST_QUERIES):
+def _with_text(hits, corpus):
+    """Texts of the hits that are left; they are never part of a candidate join."""
+    return hits.join(corpus.chunks.select("chunk_id", "text"), "chunk_id")
+
+
+def _reranked(hits, corpus, scorer, p):
+    head = _with_text(hits.filter(F.col("pos") <= p.rerank_head).select("query_id", "chunk_id"), corpus)
+    scored = R.rerank(hits.join(head, ["query_id", "chunk_id"], "left"), scorer, p.rerank_head, p.priority_boost)
+    return scored.drop("text")
+
+
+def hybrid_search(requests: DataFrame, corpus: Corpus, now: float, p=DEFAULTS, scorer=None, block=REQUEST_BLOCK):
     """(hits, withheld). Requests: query_id, query, embedding, and optionally k, doc_type, priority_only, recency,
     persona, envelope. The order of the steps is the meaning: candidates are cut before anything filters them."""
     requests, refused = refuse_out_of_scope(cut(complete(requests)))
-    small = rows_if_small(requests.select("query_id"), max_small) is not None
-    deepest = _depth(requests, small, p)
-    vec = knn_topn(requests, corpus.vectors, deepest, max_small)
-    kw = bm25_topn(requests, corpus.token_index(), deepest, max_small)
+    deepest = _depth(requests, p)
+    vec = knn_topn(requests, corpus.vectors, deepest, block)
+    kw = bm25_topn(requests, corpus.token_index(), deepest, block)
     per_query = requests.select("query_id", F.greatest(F.col("k") * 4, F.lit(40)).alias("n"))
     if p.abstraction_topk_cap >= 0:
         per_query = per_query.withColumn("n", F.col("n") * 2)
-    per_query = F.broadcast(per_query) if small else per_query
     vec = vec.join(per_query, "query_id").filter("vec_rank <= n")
     kw = kw.join(per_query, "query_id").filter("kw_rank <= n")
-    cand = _attach(R.fuse(vec, kw, p.rrf_k), corpus, requests, small)
+    cand = _attach(R.fuse(vec, kw, p.rrf_k), corpus, requests)
     cand = cut(cand.filter(
         (F.col("asked_type").isNull() | (F.col("asked_type") == F.col("doc_type")))
         & (~F.col("priority_only") | F.col("is_priority"))
     ))
     hits = R.apply_priority(cand, p)
-    hits = R.belief_visibility(hits, restrict(corpus.beliefs, cand, "rel_path", small), True, p.supersede_penalty)
+    hits = R.belief_visibility(hits, restrict(corpus.beliefs, cand, "rel_path"), True, p.supersede_penalty)
     hits, withheld = R.disclose(hits)
     slugs = cand.select("slug")
-    counts = R.inbound_links(restrict(corpus.links.withColumn("slug", F.col("tgt_slug")), slugs, "slug", small))
+    counts = R.inbound_links(restrict(corpus.links.withColumn("slug", F.col("tgt_slug")), slugs, "slug"))
     hits = R.link_lift(hits, counts, p)
     if p.supersede_aware:
-        gone = restrict(R.superseded_slugs(corpus.supersessions), slugs, "slug", small)
+        gone = restrict(R.superseded_slugs(corpus.supersessions), slugs, "slug")
         hits = R.bury_superseded(hits, gone, p.supersede_penalty)
     hits = R.order_hits(R.apply_recency(hits, now, p))
     if scorer is not None:
-        hits = R.rerank(hits, scorer, p.rerank_head, p.priority_boost)
-    return R.assemble(hits, p), withheld.unionByName(refused)
+        hits = _reranked(hits, corpus, scorer, p)
+    return _with_text(R.assemble(hits, p), corpus), withheld.unionByName(refused)
 
 
-def keyword_search(requests: DataFrame, corpus: Corpus, p=DEFAULTS, max_small=MAX_BROADCAST_QUERIES):
+def keyword_search(requests: DataFrame, corpus: Corpus, p=DEFAULTS, block=REQUEST_BLOCK):
     """(hits, withheld) by keyword relevance alone: the same visibility rules, marks instead of penalties."""
     has_envelope = "envelope" in requests.columns
     requests = cut(complete(requests))
-    small = rows_if_small(requests.select("query_id"), max_small) is not None
     deeper = has_envelope or not corpus.beliefs.isEmpty()
     k = requests.select(F.max("k")).collect()[0][0] or 1
     times = 4 if deeper else 1
-    kw = bm25_topn(requests, corpus.token_index(), k * times, max_small)
+    kw = bm25_topn(requests, corpus.token_index(), k * times, block)
     cand = _attach(
         kw.withColumns({"vec_rank": F.lit(None).cast("int"), "score": F.col("kw_score"), "keyword_score": F.col("kw_score")}),
-        corpus, requests, small,
+        corpus, requests,
     )
     cand = cut(cand.filter(F.col("kw_rank") <= F.col("k") * times))
     slugs = cand.select("slug")
-    hits = R.bury_superseded(cand, restrict(R.superseded_slugs(corpus.supersessions), slugs, "slug", small), 1.0)
-    hits = R.belief_visibility(hits, restrict(corpus.beliefs, cand, "rel_path", small), rank=False)
+    hits = R.bury_superseded(cand, restrict(R.superseded_slugs(corpus.supersessions), slugs, "slug"), 1.0)
+    hits = R.belief_visibility(hits, restrict(corpus.beliefs, cand, "rel_path"), rank=False)
     hits, withheld = R.disclose(hits)
     hits = R.order_hits(hits).withColumnRenamed("pos", "rank")
-    return hits.filter(F.col("rank") <= F.col("k")), withheld
+    return _with_text(hits.filter(F.col("rank") <= F.col("k")), corpus), withheld
 
 
 def unknown_personas(requests: DataFrame, beliefs: DataFrame) -> DataFrame:

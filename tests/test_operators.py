@@ -31,7 +31,7 @@ def rows(df):
 
 def test_bm25_plans_agree(spark, sf):
     q, i = c.sentences(spark, sf), cut(ti.tokenise(c.lines(spark, sf)))
-    a, b = ti.bm25_topn(q, i, 20), ti.bm25_topn(q, i, 20, max_small=0)
+    a, b = ti.bm25_topn(q, i, 20), ti.bm25_topn(q, i, 20, block=7)
     cols = ["query_id", "chunk_id", "kw_rank", F.round("kw_score", 6)]
     assert rows(a.select(*cols)) == rows(b.select(*cols)) != []
 
@@ -39,7 +39,7 @@ def test_bm25_plans_agree(spark, sf):
 def test_knn_plans_agree_with_brute_force(spark, sf):
     v, q = c.vectors(spark, sf), c.requests(spark, sf)
     a = vx.knn_topn(q, v, 7).select("query_id", "chunk_id", "vec_rank")
-    assert rows(a) == rows(vx.knn_topn(q, v, 7, max_small=0).select("query_id", "chunk_id", "vec_rank"))
+    assert rows(a) == rows(vx.knn_topn(q, v, 7, block=7).select("query_id", "chunk_id", "vec_rank"))
     vs = {r["chunk_id"]: np.array(r["embedding"], dtype=float) for r in v.collect()}
     first = q.filter("embedding is not null").first()
     e = np.array(first["embedding"], dtype=float)
