@@ -50,7 +50,7 @@ def test_pipeline_keeps_what_it_should(spark, sf):
 
 def test_sql_twins(spark, sf):
     con = duckdb.connect()
-    for name in ("documents", "benchmark", "pages", "conversations"):
+    for name in ("documents", "benchmark", "pages", "conversations", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     for name, sql in registered.ORACLES.items():
         df = registered.QUERIES[name](spark, sf)
