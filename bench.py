@@ -16,7 +16,8 @@ HEADLINE = (
     "r01_hybrid_search", "r02_exact_knn", "r04_bm25_lines", "r05_keyword_only", "r16_admissibility", "r17_excerpt",
     "f24_stale_marker", "f46_extractive_snapshot", "q01_open_claims", "q02_index_currency", "s04_change_classes",
     "a02_inbound_links", "g02_promotion_gate", "g04_retraction_cascade", "a03_rule_idf", "g05_near_duplicate_groups",
-    "h01_idempotent_capture", "h06_name_resolution", "w07_chunk_packing", "w12_request_limiter",
+    "h01_idempotent_capture", "h06_name_resolution", "w07_chunk_packing", "w12_request_limiter", "r12_pair_rerank", "a18_ranking_ab",
+    "g03_promote", "x01_stream_corpus", "x02_stream_capture", "z02_dedup_verdict", "g05_leader_clusters",
 )
 
 
