@@ -149,7 +149,7 @@ def rerank(hits: DataFrame, scorer, top_n=DEFAULTS.rerank_head, priority_boost=D
         asked = query.notna()
         out = pd.Series(float("nan"), index=query.index)
         if asked.any():
-            out[asked] = scorer(query[asked], text[asked])
+            out[asked] = scorer(query[asked], text[asked]).to_numpy()
         return out
 
     raw = head_only(F.when(head, blank("query")), F.when(head, blank("text")))  # rows below the head send nothing

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.admission import match_phrases
+from ..functions.porter import stem
 from ..functions.text import col, strip_accents
 from ..params import REQUEST_BLOCK
 from .best import RunningBest
@@ -26,29 +27,35 @@ def tokens(text):
     return F.regexp_extract_all(strip_accents(F.lower(col(text))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def tokenise(chunks: DataFrame, text="text") -> DataFrame:
+def tokenise(chunks: DataFrame, text="text", stemming=False) -> DataFrame:
     """The index table: chunk_id, tokens. Write it once when many searches follow."""
-    return chunks.select("chunk_id", tokens(text).alias("tokens"))
+    index = chunks.select("chunk_id", tokens(text).alias("tokens"))
+    return stemmed(index, "tokens") if stemming else index
 
 
-def stemmed(index: DataFrame, stemmer) -> DataFrame:
-    """Replace every token by its stem. `stemmer` maps a pandas Series of distinct words to stems."""
-    words = index.select(F.explode(F.array_distinct("tokens")).alias("token")).distinct()
-    stems = words.withColumn("stem", F.pandas_udf(stemmer, "string")("token"))
-    flat = index.select("chunk_id", F.posexplode("tokens").alias("pos", "token")).join(stems, "token")
-    joined = flat.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("pos", "stem"))).alias("p"))
-    return joined.select("chunk_id", F.col("p.stem").alias("tokens"))
+def stemmed(df: DataFrame, column: str) -> DataFrame:
+    """Every word of an array column by its stem. Each distinct word of a batch is stemmed once; nothing is shuffled."""
+
+    def run(batches):
+        for b in batches:
+            at = b.schema.get_field_index(column)
+            lists = b.column(at)
+            words = pc.list_flatten(lists).dictionary_encode()
+            stems = pa.array([w if w is None else stem(w) for w in words.dictionary.to_pylist()], pa.string()).take(words.indices)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            yield b.set_column(at, b.schema.field(at), pa.ListArray.from_arrays(offsets, stems).cast(b.schema.field(at).type))
+
+    return df.mapInArrow(run, df.schema)
 
 
-def query_phrases(queries: DataFrame, query="query") -> DataFrame:
+def query_phrases(queries: DataFrame, query="query", stemming=False) -> DataFrame:
     """(query_id, phrase ARRAY, weight): what each query scores; a repeated term weighs more."""
     split = F.transform(match_phrases(query), lambda ph: F.split(F.lower(F.array_join(ph, "_")), "_"))
     clean = F.transform(split, lambda ph: F.filter(ph, lambda w: w != ""))
-    return (
-        queries.select("query_id", F.explode(clean).alias("phrase"))
-        .filter(F.size("phrase") > 0)
-        .groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("weight"))
-    )
+    phrases = queries.select("query_id", F.explode(clean).alias("phrase")).filter(F.size("phrase") > 0)
+    phrases = stemmed(phrases, "phrase") if stemming else phrases
+    return phrases.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("weight"))
 
 
 class _Matcher:
@@ -163,10 +170,11 @@ def _scan(index, rows, depth):
     return index.select("chunk_id", "tokens").mapInArrow(score, _SCORED)
 
 
-def bm25_topn(queries: DataFrame, index: DataFrame, depth: int, block: int = REQUEST_BLOCK) -> DataFrame:
+def bm25_topn(queries: DataFrame, index: DataFrame, depth: int, block: int = REQUEST_BLOCK, stemming=False) -> DataFrame:
     """(query_id, chunk_id, kw_score, kw_rank), the best `depth` chunks per query, best first. Every block of requests is
-    scored inside a scan of the index; what is shuffled is each task's best `depth` per request."""
-    scored = over_blocks(query_phrases(queries), block, lambda rows: _scan(index, rows, depth))
+    scored inside a scan of the index; what is shuffled is each task's best `depth` per request. `stemming` must be that of
+    the index."""
+    scored = over_blocks(query_phrases(queries, stemming=stemming), block, lambda rows: _scan(index, rows, depth))
     if scored is None:
         return index.sparkSession.createDataFrame([], _SCORED + ", kw_rank int")
     best = Window.partitionBy("query_id").orderBy(F.desc("kw_score"), "chunk_id")

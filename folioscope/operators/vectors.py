@@ -106,8 +106,17 @@ def stale_chunks(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     return chunks.join(vectors.select("chunk_id"), "chunk_id", "left_anti")
 
 
-def embed(chunks: DataFrame, encode, dim: int) -> DataFrame:
-    """(chunk_id, embedding) for (chunk_id, text). A wrong count or width fails the job."""
+def refuse_mixed(wanted: dict, held: dict):
+    """Vectors of one space only: a table written with another width, model or provider has to be reset first."""
+    changed = {name: (held[name], value) for name, value in wanted.items() if held.get(name) is not None and held[name] != value}
+    if changed:
+        raise ValueError("the vector table was written with another " + ", ".join(f"{n} ({a!r}, now {b!r})" for n, (a, b) in changed.items()))
+
+
+def embed(chunks: DataFrame, encode, dim: int, manifest: dict = None, held: dict = None) -> DataFrame:
+    """(chunk_id, embedding) for (chunk_id, text). A wrong count or width fails the job; so does, before it starts, a
+    vector table whose manifest `held` names another dim, model or provider than `manifest`."""
+    refuse_mixed({"dim": dim, **(manifest or {})}, held or {})
 
     def run(batches):
         for pdf in batches:

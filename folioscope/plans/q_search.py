@@ -142,6 +142,8 @@ def _bm(s, p, block):
 
 
 query("r04_bm25_lines", "WITH" + _LINES + _BM_COLS)(lambda s, p: _bm(s, p, 2048))
+query("r04_bm25_stemmed")(lambda s, p: ti.bm25_topn(c.sentences(s, p), written(ti.tokenise(c.lines(s, p), stemming=True), "tokens"), 40, stemming=True).select(
+    "query_id", "chunk_id", "kw_rank", F.round("kw_score", 6).alias("kw_score")))
 query("j15_bm25_by_joins", "WITH" + _LINES + _BM_COLS)(lambda s, p: _bm(s, p, 64))
 query("t02_bm25_first_ten", "WITH" + REQ + "," + TEXT + " SELECT query_id, chunk_id FROM kwr WHERE kw_rank <= 10")(
     lambda s, p: ti.bm25_topn(c.requests(s, p), ti.tokenise(c.chunks(s, p)), 10).select("query_id", "chunk_id"))
@@ -287,10 +289,24 @@ query("r05_keyword_only", with_views(NOTE_VIEWS, "SELECT query_id, chunk_id, rou
     lambda s, p: keyword_search(c.requests(s, p), c.corpus(s, p))[0].select(
         "query_id", "chunk_id", F.round("score", 6).alias("score"), F.map_contains_key("boosts", "superseded").alias("superseded"), "rank"))
 
-query("r12_pair_rerank")(lambda s, p: hybrid_search(c.requests(s, p), c.corpus(s, p), src.NOW, scorer=R.term_overlap)[0].select(
-    "query_id", "rank", "chunk_id", F.round("score", 6).alias("score")))
-query("t04_rerank_head")(lambda s, p: R.rerank(
-    R.order_hits(_every_doc(s, p)).withColumn("text", F.col("body")), R.term_overlap).select("query_id", "rel_path", "pos", F.round("score", 6).alias("score")))
+def _overlap(a, b):
+    words = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '\s+'), lambda x: x <> ''))"
+    return f"len(list_intersect({words.format(a)}, {words.format(b)})) - 1"
+
+
+_RERANKED = ",".join([REQ, TEXT, VEC, FUSED, CAND]) + r""",
+ord3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_rank NULLS LAST, kw_rank NULLS LAST) AS pos,
+   made AND (recency OR regexp_matches(query, '(?i)\b(latest|recent(ly)?|current(ly)?|now|today|newest|most recent|status|state of|up[- ]?to[- ]?date|this (week|month)|what changed|updated?)\b')) AS below FROM final),
+rr AS (SELECT * REPLACE (CASE WHEN pos <= 30 THEN 1 / (1 + exp(-(""" + _overlap("query", "text") + r""")::DOUBLE)) * CASE WHEN is_priority THEN 1.3::DOUBLE ELSE 1 END ELSE score END AS score) FROM ord3),
+rp AS (SELECT * REPLACE (row_number() OVER (PARTITION BY query_id ORDER BY pos > 30, CASE WHEN pos <= 30 THEN -round(score, 12) END, pos) AS pos) FROM rr),
+rs AS (SELECT *, sum(made::INT) OVER (PARTITION BY query_id ORDER BY below, pos) AS n_made FROM rp)"""
+query("r12_pair_rerank", with_views(NOTE_VIEWS, """SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY below, pos) AS rank, chunk_id, round(score, 6) AS score FROM rs
+  WHERE NOT made OR n_made <= 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY below, pos) <= k""", _RERANKED))(
+    lambda s, p: hybrid_search(c.requests(s, p), c.corpus(s, p), src.NOW, scorer=R.term_overlap)[0].select(
+        "query_id", "rank", "chunk_id", F.round("score", 6).alias("score")))
+query("t04_rerank_head", with_views(["docs"], """SELECT query_id, rel_path, row_number() OVER (PARTITION BY query_id ORDER BY pos > 30, CASE WHEN pos <= 30 THEN -round(s, 12) END, pos) AS pos, round(s, 6) AS score
+  FROM (SELECT *, CASE WHEN pos <= 30 THEN 1 / (1 + exp(-(""" + _overlap("'the invoice'", "body") + """)::DOUBLE)) * CASE WHEN is_priority THEN 1.3::DOUBLE ELSE 1 END ELSE 1.0::DOUBLE / (k + 1) END AS s FROM o)""", _ORD))(
+    lambda s, p: R.rerank(R.order_hits(_every_doc(s, p)).withColumn("text", F.col("body")), R.term_overlap).select("query_id", "rel_path", "pos", F.round("score", 6).alias("score")))
 
 
 def _ab(s, p):

@@ -111,7 +111,8 @@ query("j10_true_coverage", "SELECT count(*) AS chunks, count(*) FILTER (doc_id I
     lambda s, p: table(s, p, "documents").agg(F.count(F.lit(1)).alias("chunks")).withColumn(
         "embedded", table(s, p, "documents").join(c.vectors(s, p), F.col("doc_id") == F.col("chunk_id"), "left_semi").agg(F.count(F.lit(1))).scalar()))
 query("r24_batch_embedding")(lambda s, p: vx.embed(
-    vx.stale_chunks(table(s, p, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), c.vectors(s, p)), vx.encoder("hash", 64), 64)
+    vx.stale_chunks(table(s, p, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), c.vectors(s, p)), vx.encoder("hash", 64), 64,
+    {"model": "hash", "provider": "built-in"}, {"dim": 64, "model": "hash", "provider": "built-in"})
     .select("chunk_id", F.size("embedding").alias("dim"), F.round(vx.norm("embedding"), 4).alias("norm")))
 query("f58_unit_and_cosine", """SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)), 4) AS square, round(list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding::DOUBLE[])), 6) AS mirrored FROM embeddings""")(
     lambda s, p: table(s, p, "embeddings").select("vec_id", F.round(F.pow(vx.norm("embedding"), 2), 4).alias("square"), F.round(vx.cosine("embedding", F.reverse("embedding")), 6).alias("mirrored")))

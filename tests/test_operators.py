@@ -53,10 +53,22 @@ def test_top_n_is_cut_before_the_final_sort(spark, sf):
     assert "WindowGroupLimit" in plan
 
 
-def test_stemming_joins_the_vocabulary_back(spark):
-    docs = spark.createDataFrame([(1, "running runs"), (2, "walk")], "chunk_id long, text string")
-    got = ti.stemmed(ti.tokenise(docs), lambda s: s.str.replace(r"(ning|s)$", "", regex=True))
-    assert rows(got.select("chunk_id", F.array_join("tokens", " "))) == [(1, "run run"), (2, "walk")]
+def test_stemming_on_both_sides(spark):
+    docs = spark.createDataFrame([(1, "running runs"), (2, "walk"), (3, "a relational hope"), (4, None)], "chunk_id long, text string")
+    index = ti.tokenise(docs, stemming=True)
+    assert rows(index.filter("chunk_id < 4").select("chunk_id", F.array_join("tokens", " "))) == [(1, "run run"), (2, "walk"), (3, "a relat hope")]
+    asked = spark.createDataFrame([(7, "running"), (8, "Walks hopeful"), (9, "nothing")], "query_id long, query string")
+    found = ti.bm25_topn(asked, index, 5, stemming=True)
+    assert rows(found.select("query_id", "chunk_id")) == [(7, 1), (8, 2), (8, 3)]
+
+
+def test_porter_examples():
+    from folioscope.functions.porter import stem
+
+    pairs = "caresses caress ponies poni agreed agre plastered plaster sing sing conflated conflat hopping hop falling fall filing file happy happi sky sky"
+    pairs += " relational relat vietnamization vietnam sensibiliti sensibl triplicate triplic goodness good replacement replac adoption adopt cease ceas controll control roll roll"
+    words = pairs.split()
+    assert [stem(w) for w in words[::2]] == words[1::2]
 
 
 # ---- graph ------------------------------------------------------------------
@@ -298,6 +310,12 @@ def test_encoder_names_and_widths(spark):
     chunks = spark.createDataFrame([(1, "a b")], "chunk_id long, text string")
     with pytest.raises(Exception, match="not 9 wide"):
         vx.embed(chunks, vx.encoder("hash", 8), 9).collect()
+    held = {"dim": 8, "model": "hash", "provider": "built-in"}
+    assert vx.embed(chunks, vx.encoder("hash", 8), 8, {"model": "hash"}, held).count() == 1
+    with pytest.raises(ValueError, match="another model"):
+        vx.embed(chunks, vx.encoder("hash", 8), 8, {"model": "other"}, held)
+    with pytest.raises(ValueError, match="another dim"):
+        vx.embed(chunks, vx.encoder("hash", 16), 16, {"model": "hash"}, held)
 
 
 def test_scan_and_unreadable_metadata(spark, tmp_path):
