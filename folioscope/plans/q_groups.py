@@ -12,24 +12,24 @@ from ..sources import notes as src
 from .catalog import query, table
 from .oracle_views import with_views
 
-# ---- the given vectors, slightly moved copies of every tenth, exact copies of one label
+# ---- the given vectors, slightly moved copies of every tenth, exact copies of one label; ids 3n, 3n + 1, 3n + 2
 
 
 def near_copies(s, p):
     e = table(s, p, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
     moved = F.concat(F.array((F.get("embedding", F.lit(0)) + F.lit(0.05).cast("float")).cast("float")), F.slice("embedding", F.lit(2), F.size("embedding")))
     parts = [
-        e.select(F.col("id").alias("chunk_id"), "embedding", F.col("id").alias("origin")),
-        e.filter("id % 10 = 0").select((F.col("id") + 1000000).alias("chunk_id"), moved.alias("embedding"), F.col("id").alias("origin")),
-        e.filter("label = 3").select((F.col("id") + 2000000).alias("chunk_id"), "embedding", F.col("id").alias("origin")),
+        e.select((F.col("id") * 3).alias("chunk_id"), "embedding", F.col("id").alias("origin")),
+        e.filter("id % 10 = 0").select((F.col("id") * 3 + 1).alias("chunk_id"), moved.alias("embedding"), F.col("id").alias("origin")),
+        e.filter("label = 3").select((F.col("id") * 3 + 2).alias("chunk_id"), "embedding", F.col("id").alias("origin")),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 _V = """
-vv AS (SELECT vec_id AS chunk_id, embedding, vec_id AS origin FROM embeddings
-  UNION ALL SELECT vec_id + 1000000, list_concat([(embedding[1] + 0.05::FLOAT)::FLOAT], embedding[2:]), vec_id FROM embeddings WHERE vec_id % 10 = 0
-  UNION ALL SELECT vec_id + 2000000, embedding, vec_id FROM embeddings WHERE label = 3),
+vv AS (SELECT vec_id * 3 AS chunk_id, embedding, vec_id AS origin FROM embeddings
+  UNION ALL SELECT vec_id * 3 + 1, list_concat([(embedding[1] + 0.05::FLOAT)::FLOAT], embedding[2:]), vec_id FROM embeddings WHERE vec_id % 10 = 0
+  UNION ALL SELECT vec_id * 3 + 2, embedding, vec_id FROM embeddings WHERE label = 3),
 reps AS (SELECT min(chunk_id) AS rep, embedding FROM vv GROUP BY embedding),
 member AS (SELECT chunk_id, rep FROM vv JOIN reps USING (embedding)),
 prs AS (SELECT a.rep AS a, b.rep AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS cos FROM reps a JOIN reps b ON a.rep <> b.rep
@@ -55,11 +55,11 @@ def _members(s, p):
     texts = table(s, p, "documents").select(F.col("doc_id").alias("origin"), "text")
     dd = src.docs(s, p).select(F.col("k").alias("origin"), "rel_path", "mtime")
     return g.join(near_copies(s, p).select("chunk_id", "origin"), "chunk_id").join(texts, "origin").join(dd, "origin").withColumn(
-        "rel_path", F.when(F.col("chunk_id") < 1000000, F.col("rel_path")).otherwise(F.concat(F.lit("copy/"), "rel_path")))
+        "rel_path", F.when(F.col("chunk_id") % 3 == 0, F.col("rel_path")).otherwise(F.concat(F.lit("copy/"), "rel_path")))
 
 
 _MEM = _V + """,
-mem AS (SELECT cluster_id, part, vv.chunk_id, text, CASE WHEN vv.chunk_id < 1000000 THEN '' ELSE 'copy/' END || docs.rel_path AS rel_path, mtime
+mem AS (SELECT cluster_id, part, vv.chunk_id, text, CASE WHEN vv.chunk_id % 3 = 0 THEN '' ELSE 'copy/' END || docs.rel_path AS rel_path, mtime
   FROM cl JOIN vv USING (chunk_id) JOIN documents ON doc_id = origin JOIN docs ON docs.k = origin),
 cat AS (SELECT cluster_id, part, left(sha256(string_agg(left(sha256(text), 16), '' ORDER BY left(sha256(text), 16))), 12) AS signature, count(*) AS size, count(DISTINCT rel_path) AS n_sources, max(mtime) AS newest,
   string_agg(DISTINCT rel_path, '|' ORDER BY rel_path) AS sources FROM mem GROUP BY ALL)"""
@@ -72,16 +72,16 @@ query("z04_merge_candidates", with_views(["docs"], """SELECT chunk_id, merge_wit
   SELECT a.chunk_id, b.chunk_id AS merge_with, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS cosine, count(*) OVER (PARTITION BY a.chunk_id) AS n_partners
   FROM mm a JOIN mm b ON a.rel_path <> b.rel_path WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) >= 0.92)
   QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY cosine DESC, merge_with) = 1""",
-      _V + ", mm AS (SELECT chunk_id, embedding, CASE WHEN chunk_id < 1000000 THEN '' ELSE 'copy/' END || docs.rel_path AS rel_path FROM vv JOIN docs ON docs.k = origin)"))(
+      _V + ", mm AS (SELECT chunk_id, embedding, CASE WHEN chunk_id % 3 = 0 THEN '' ELSE 'copy/' END || docs.rel_path AS rel_path FROM vv JOIN docs ON docs.k = origin)"))(
     lambda s, p: cl.merge_candidates(near_copies(s, p).join(src.docs(s, p).select(F.col("k").alias("origin"), "rel_path"), "origin")
-        .withColumn("rel_path", F.when(F.col("chunk_id") < 1000000, F.col("rel_path")).otherwise(F.concat(F.lit("copy/"), "rel_path")))).withColumn("cosine", F.round("cosine", 6)))
+        .withColumn("rel_path", F.when(F.col("chunk_id") % 3 == 0, F.col("rel_path")).otherwise(F.concat(F.lit("copy/"), "rel_path")))).withColumn("cosine", F.round("cosine", 6)))
 query("j08_clusterable_chunks", with_views(["docs"], "SELECT doc_id AS chunk_id, mtime FROM documents JOIN docs ON docs.k = doc_id WHERE doc_id IN (SELECT vec_id FROM embeddings) AND NOT (rel_path ILIKE 'abstraction-%' OR rel_path ILIKE '%/abstraction_%')"))(
     lambda s, p: cl.clusterable(c.chunks(s, p), c.vectors(s, p), src.docs(s, p)).select("chunk_id", "mtime"))
 
 
 def _nearest(s, p):
     """Every copy as a candidate against the given vectors."""
-    cand = near_copies(s, p).filter("chunk_id >= 1000000").select(F.col("chunk_id").alias("query_id"), "embedding")
+    cand = near_copies(s, p).filter("chunk_id % 3 > 0").select(F.col("chunk_id").alias("query_id"), "embedding")
     near = vx.knn_topn(cand, c.vectors(s, p), 1)
     o = F.col("chunk_id")
     kinds = F.array(*[F.lit(x) for x in ("project", "feedback", "reference")])
@@ -90,7 +90,7 @@ def _nearest(s, p):
 
 
 _NEAR = _V + """,
-nn AS (SELECT q.chunk_id AS query_id, e.vec_id AS o, round(1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS dist FROM vv q, embeddings e WHERE q.chunk_id >= 1000000
+nn AS (SELECT q.chunk_id AS query_id, e.vec_id AS o, round(1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS dist FROM vv q, embeddings e WHERE q.chunk_id % 3 > 0
    QUALIFY row_number() OVER (PARTITION BY q.chunk_id ORDER BY round(1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9), e.vec_id) = 1),
 vd AS (SELECT query_id, o, (['project', 'feedback', 'reference'])[o % 3 + 1] AS kind, (o % 11) / 10 AS confidence, CASE WHEN o % 100 = 90 THEN 'CONFLICT' WHEN 1 - dist >= 0.92 AND o % 4 = 0 THEN 'DUPLICATE'
    WHEN o % 8 = 2 AND o % 3 <> 1 AND 1 - dist >= 0.78 THEN 'POINTER' WHEN 1 - dist >= 0.78 AND 1 - dist < 0.92 AND o % 4 = 1 THEN 'UPDATE' ELSE 'CREATE' END AS verdict FROM nn)"""

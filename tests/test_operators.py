@@ -53,6 +53,22 @@ def test_top_n_is_cut_before_the_final_sort(spark, sf):
     assert "WindowGroupLimit" in plan
 
 
+def test_search_broadcasts_nothing_by_hint(spark, sf):
+    from folioscope.plans.search import hybrid_search
+    from folioscope.sources import notes as src
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits, _ = hybrid_search(c.requests(spark, sf), c.corpus(spark, sf), src.NOW, block=7)
+        assert "Broadcast" not in hits._jdf.queryExecution().executedPlan().toString()
+        few = rows(hits.select("query_id", "rank", "chunk_id"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert few == rows(hybrid_search(c.requests(spark, sf), c.corpus(spark, sf), src.NOW)[0].select("query_id", "rank", "chunk_id")) != []
+
+
 def test_stemming_on_both_sides(spark):
     docs = spark.createDataFrame([(1, "running runs"), (2, "walk"), (3, "a relational hope"), (4, None)], "chunk_id long, text string")
     index = ti.tokenise(docs, stemming=True)
