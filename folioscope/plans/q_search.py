@@ -12,7 +12,8 @@ from ..sources import corpus as c
 from ..sources import notes as src
 from .catalog import query, table
 from .oracle_views import sql_is_abstraction, with_views
-from .search import hybrid_search, keyword_search, refuse_out_of_scope, unknown_personas
+from .q_scalar import _SQL_SCORED, _SQL_TURNS, _turns
+from .search import hybrid_search, keyword_search, refuse_out_of_scope, suggest_by_search, unknown_personas
 
 DEPTH = DEFAULTS.over_fetch(10)
 
@@ -289,6 +290,18 @@ query("r05_keyword_only", with_views(NOTE_VIEWS, "SELECT query_id, chunk_id, rou
     lambda s, p: keyword_search(c.requests(s, p), c.corpus(s, p))[0].select(
         "query_id", "chunk_id", F.round("score", 6).alias("score"), F.map_contains_key("boosts", "superseded").alias("superseded"), "rank"))
 
+_SAVED = ",".join([_SQL_TURNS, _SQL_SCORED, """
+q AS (SELECT conv_id * 1000 + turn AS query_id, text AS query, 3 AS k, 0 AS kind, 'full' AS mode, '' AS asker FROM turns)""", TEXT, _KW.replace("kw_rank <= 40", "kw_rank <= 12"), r"""
+hit AS (SELECT query_id, kwj.rel_path, title, row_number() OVER (PARTITION BY query_id ORDER BY kw_rank) AS rank FROM kwj JOIN docs ON docs.k = chunk_id WHERE reason = '' QUALIFY rank <= 3),
+w AS (SELECT conv_id * 1000 + turn AS query_id, kind, round(least(score, 1), 6) AS confidence, score,
+  kind || '_' || array_to_string(regexp_extract_all(lower(left(string_split(trim(text), chr(10))[1], 80)), '[A-Za-z0-9]+')[1:6], '-') AS slug FROM scored),
+am AS (SELECT query_id, min_by(rel_path, rank) AS amend FROM w JOIN hit USING (query_id)
+  WHERE len(list_intersect(list_distinct(regexp_extract_all(lower(w.slug), '[a-z0-9]{4,}')), list_distinct(regexp_extract_all(lower(rel_path || ' ' || title), '[a-z0-9]{4,}')))) >= 2 GROUP BY ALL)"""])
+query("r22_suggest_by_search", with_views(NOTE_VIEWS, """SELECT query_id, confidence, kind AS type, slug, CASE WHEN amend IS NULL THEN 'create' ELSE 'amend' END AS action, coalesce(amend, kind || '-' || slug || '.md') AS target
+  FROM w LEFT JOIN am USING (query_id) WHERE round(least(score, 1), 9) >= 0.5""", _SAVED))(
+    lambda s, p: suggest_by_search(_turns(s, p).select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text"), c.corpus(s, p)).withColumn("confidence", F.round("confidence", 6)))
+
+
 def _overlap(a, b):
     words = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '\s+'), lambda x: x <> ''))"
     return f"len(list_intersect({words.format(a)}, {words.format(b)})) - 1"

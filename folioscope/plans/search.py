@@ -9,6 +9,7 @@ from ..functions import disclosure as dis
 from ..functions.text import basename_slug
 from ..operators import rank as R
 from ..operators.bounded import restrict
+from ..operators.rules import suggest
 from ..operators.textindex import bm25_topn, tokenise
 from ..operators.vectors import knn_topn
 from ..params import DEFAULTS, REQUEST_BLOCK
@@ -135,6 +136,13 @@ def keyword_search(requests: DataFrame, corpus: Corpus, p=DEFAULTS, block=REQUES
     return _with_text(hits.filter(F.col("rank") <= F.col("k")), corpus), withheld
 
 
+def suggest_by_search(texts: DataFrame, corpus: Corpus, k=3, p=DEFAULTS):
+    """create or amend, per text worth saving (query_id, text): the notes are those that keyword search finds for it."""
+    asked = texts.select("query_id", F.col("text").alias("query"), F.lit(k).alias("k"))
+    hits, _ = keyword_search(asked, corpus, p)
+    return suggest(texts, hits.select("query_id", "rank", "rel_path", "title"))
+
+
 def unknown_personas(requests: DataFrame, beliefs: DataFrame) -> DataFrame:
     """Requests whose persona has written no belief although others have; matching is exact."""
     known = beliefs.filter("persona <> ''").select("persona").distinct()
