@@ -23,8 +23,8 @@ from .grams import Ftrl, gram_set
 
 LOW, HIGH, BITS = 3, 5, 18
 SAMPLE = 2000
-LEAST = 4
-RATIO = 1.5
+LEAST = 6
+RATIO = 2.0
 EPOCHS = 6
 THRESHOLD = 0.3
 
