@@ -25,6 +25,8 @@ from .tokens import encoder
 CHUNK = 8
 RANK_BITS = 512
 BLOCK_TOKENS = 1 << 20
+#: With spaces kept, a word has more forms than without; this job holds nothing else.
+CACHE_ENTRIES = 450_000
 MAGIC = b"DAC1"
 BLOCK_SCHEMA = "part int, block int, start_in_part long, n_tokens long, doc_ids array<long>, payload binary"
 
@@ -99,7 +101,7 @@ def write_blocks(docs: DataFrame, vocabulary: str, end_id: int = 0, block_tokens
     """Encode (doc_id, text) and write the blocks to the shared folder; returns the written table."""
 
     def blocks(batches):
-        ids_of, end, part = encoder(vocabulary).ids, int(end_id).to_bytes(4, "little"), TaskContext.get().partitionId()
+        ids_of, end, part = encoder(vocabulary, CACHE_ENTRIES).ids, int(end_id).to_bytes(4, "little"), TaskContext.get().partitionId()
         state = {"block": 0, "start": 0, "held": 0, "ids": [], "docs": []}
 
         def close():

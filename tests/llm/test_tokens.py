@@ -25,9 +25,8 @@ def test_ids_are_those_of_the_library(name):
         assert np.frombuffer(own.ids(text), "<u4").tolist() == want, repr(text)
 
 
-def test_a_full_cache_changes_nothing(monkeypatch):
-    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 2)
-    own = tokens.Encoder(tokens.vocabulary("byte_bpe_50k.json"))
+def test_a_full_cache_changes_nothing():
+    own = tokens.Encoder(tokens.vocabulary("byte_bpe_50k.json"), 2)
     for text in WEIRD * 2:
         assert np.frombuffer(own.ids(text), "<u4").tolist() == own.library.encode(text, add_special_tokens=False).ids
 
