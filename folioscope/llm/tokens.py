@@ -17,7 +17,7 @@ BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
 
 #: Entries of one generation of a cache; four generations are held per Python worker, at about 200 bytes an entry.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 
 #: Pieces of these characters (no numbers but the digits) are split here; every other piece goes to the library whole.
 PLAIN = re.compile("[\n\t\r -~¡-±´-¸º»¿-ɏ]+")
