@@ -25,6 +25,17 @@ def test_ids_are_those_of_the_library(name):
         assert np.frombuffer(own.ids(text), "<u4").tolist() == want, repr(text)
 
 
+@pytest.mark.parametrize("name, ids", [("byte_bpe_50k.json", [64, 50256, 65]), ("word_bpe_49k.json", [320, 49407, 321])])
+def test_special_tokens_inside_texts_are_those_of_a_fresh_library(name, ids):
+    from tokenizers import Tokenizer
+
+    own, fresh, draw = tokens.Encoder(tokens.vocabulary(name)), Tokenizer.from_file(tokens.vocabulary(name)), random.Random(2)
+    assert np.frombuffer(own.ids("a<|endoftext|>b"), "<u4").tolist() == ids
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|end", "oftext|>", "<", " ", "  ", "\n", "a", "É", "e\u0301", "'s", "\x01", "日", "y" * 300]
+    for text in WEIRD + ["".join(draw.choices(parts, k=draw.randint(1, 12))) for _ in range(1000)]:
+        assert np.frombuffer(own.ids(text), "<u4").tolist() == fresh.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_a_full_cache_changes_nothing():
     own = tokens.Encoder(tokens.vocabulary("byte_bpe_50k.json"), 2)
     for text in WEIRD * 2:
