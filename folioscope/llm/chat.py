@@ -6,10 +6,11 @@ shorter one, the template rewrote history: the conversation is marked, and spans
 and leave the loss mask. Where the text of a turn stands inside its span is found by rendering the prefix with two
 different probe texts: what both share before and after them surrounds the text.
 
-Turns are ordered by turn, role and text (nulls first; null role and text are empty). Turns of one conversation pass
-through one sorted stream of bounded memory: a conversation of more than `block_turns` turns is rendered in blocks, each
-with the number of turns before it. Rows with a null conv_id are one conversation. Repeated rows are repeated turns.
-Other columns are not read. An empty table gives an empty result.
+Turns are ordered by turn, role and text (nulls first; null role and text are empty). Conversations pass through one
+sorted stream that holds one of them at a time: every prefix is rendered from the first turn on, however long it is, which
+is quadratic in a conversation. The text is returned in rows of `block_turns` turns that follow each other; where history
+is rewritten the turns do not tile the text, and it stays in one row. Rows with a null conv_id are one conversation.
+Repeated rows are repeated turns. Other columns are not read. An empty table gives an empty result.
 """
 
 import hashlib
@@ -34,6 +35,8 @@ class MarkedTurns:
     TURN = re.compile(r"### ((?:[^\\:]|\\.)*): (.*?)</turn>\n", re.DOTALL)
 
     def escape(self, text):
+        if "\\" not in text and "### " not in text and "</turn>" not in text:
+            return text
         return self.CONTROL.sub(lambda m: self.SPLIT[m[0]], text)
 
     def unescape(self, text):
@@ -52,7 +55,7 @@ def common(a, b):
     low, high = 0, min(len(a), len(b))
     while low < high:
         mid = (low + high + 1) // 2
-        low, high = (mid, high) if a[:mid] == b[:mid] else (low, mid - 1)
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid - 1)
     return low
 
 
@@ -74,18 +77,29 @@ def render(template, turns, first):
     return before, spans, rewrites
 
 
+def rows_of(text, spans, rewrites, block_turns):
+    """(block, first turn, text, rewrites, spans) of every row of a rendered conversation; their texts together are its text."""
+    if rewrites:
+        return [(0, 0, text, rewrites, spans)]
+    firsts = range(0, len(spans), block_turns)
+    cuts = [0, *(spans[k]["start"] for k in firsts[1:]), len(text)]
+    places = "start", "end", "text_start", "text_end"
+    return [
+        (b, k, text[cuts[b] : cuts[b + 1]], rewrites, [{**s, **{c: s[c] - cuts[b] for c in places}} for s in spans[k : k + block_turns]])
+        for b, k in enumerate(firsts)
+    ]
+
+
 def format_conversations(turns: DataFrame, template, block_turns: int = BLOCK_TURNS) -> DataFrame:
-    """Rows (conv_id, block): the formatted text with its spans. Blocks of a conversation follow each other in one partition."""
+    """Rows (conv_id, block): the formatted text with its spans, counted from the row's begin. Blocks of a conversation follow each other in one partition."""
 
     def run(batches):
-        held, state = [], {"conv": None, "block": 0, "first": 0, "open": False}
+        held, state = [], {"conv": None}
 
         def close():
-            text, spans, rewrites = render(template, held, state["first"])
-            row = (state["conv"], state["block"], state["first"], text, rewrites, spans)
-            state.update(block=state["block"] + 1, first=state["first"] + len(held))
+            text, spans, rewrites = render(template, held, 0)
             held.clear()
-            return row
+            return [(state["conv"], *row) for row in rows_of(text, spans, rewrites, block_turns)]
 
         def frame(rows):
             out = pd.DataFrame(rows, columns=["conv_id", "block", "first_turn", "formatted", "rewrites", "spans"])
@@ -95,15 +109,14 @@ def format_conversations(turns: DataFrame, template, block_turns: int = BLOCK_TU
             rows = []
             for conv, role, text in zip(batch["conv_id"].astype("Int64"), batch["role"], batch["text"], strict=True):
                 conv = None if conv is pd.NA else int(conv)
-                if state["open"] and (conv != state["conv"] or len(held) == block_turns):
-                    rows.append(close())
-                if not state["open"] or conv != state["conv"]:
-                    state.update(conv=conv, block=0, first=0, open=True)
+                if held and conv != state["conv"]:
+                    rows += close()
+                state["conv"] = conv
                 held.append((role, text))
             if rows:
                 yield frame(rows)
         if held:
-            yield frame([close()])
+            yield frame(close())
 
     clean = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = clean.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")

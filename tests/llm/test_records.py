@@ -92,6 +92,44 @@ def test_templates_that_rewrite_history_are_found():
     assert "".join(text[s["start"] : s["end"]] for s in spans) == text
 
 
+def long_template(name):
+    """Made in a function, so that workers get it by value."""
+
+    def thoughtless(turns, first=0):
+        """Keeps what the assistant thinks only in its last turn."""
+        last = max((k for k, (r, _) in enumerate(turns) if r == "assistant"), default=-1)
+        return "<s>" + "".join(f"[{r}] {t if k == last else t.split('THINK')[0]}\n" for k, (r, t) in enumerate(turns))
+
+    def recent(turns, first=0):
+        """Drops old turns."""
+        return "".join(f"[{r}] {t}\n" for r, t in turns[-3:])
+
+    def headed(turns, first=0):
+        return f"{len(turns) // 4}\n" + "".join(f"[{r}] {t}\n" for r, t in turns)
+
+    def appending(turns, first=0):
+        return "<s>" + "".join(f"[{first + k} {r}] {t}\n" for k, (r, t) in enumerate(turns))
+
+    return {"thoughtless": thoughtless, "recent": recent, "headed": headed, "appending": appending}[name]
+
+
+@pytest.mark.parametrize("name, rewrites", [("thoughtless", True), ("recent", True), ("headed", True), ("appending", False)])
+def test_long_conversations_are_rendered_whole(spark, name, rewrites):
+    template = long_template(name)
+    said = [("assistant" if k % 2 else "user", f"turn {k:03}" + " THINK deep" * (k % 4 == 1)) for k in range(150)]
+    turns = spark.createDataFrame([(1, k, r, t, "x") for k, (r, t) in enumerate(said)] + [(2, 0, "user", "hi", "x")], TURNS)
+    for block in (4, 64):
+        got = chat.format_conversations(turns, template, block).filter("conv_id = 1").orderBy("block").collect()
+        text, spans, _ = chat.render(template, said, 0)
+        assert "".join(r["formatted"] for r in got) == text == template(said)
+        assert {r["rewrites"] for r in got} == {rewrites}
+        found = [(s["located"], r["formatted"][s["text_start"] : s["text_end"]]) for r in got for s in r["spans"]]
+        assert [f for f, _ in found] == [s["located"] for s in spans] and len(found) == len(said)
+        assert all(part == t for (f, part), (_, t) in zip(found, said) if f)
+        assert all(f for f, _ in found) != rewrites
+        assert [r["first_turn"] for r in got] == ([0] if rewrites else list(range(0, 150, block)))
+
+
 EMBEDDINGS = "vec_id long, embedding array<float>, label int"
 
 
