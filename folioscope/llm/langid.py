@@ -2,7 +2,8 @@
 
 Document frequencies are counted over all training rows. The regression is trained with follow-the-regularised-leader
 and elastic-net penalties on a bounded sample, about SAMPLE rows of each language chosen by a hash of the id; a fifth of
-it is held back and sets the temperature of the scores. Training rows: those that `held_out` does not exclude, with a
+it is held back and sets the temperature of the scores and the least score of a known language: the QUANTILE of the scores
+of held-back rows that are identified correctly (LEAST if none are held back). Training rows: those that `held_out` does not exclude, with a
 language and text.
 
 Null texts and texts without a letter are `und` with score 0; so is everything if there is nothing to learn from.
@@ -25,6 +26,8 @@ from .grams import Ftrl, gram_counts, logits, softmax, temperature
 LOW, HIGH, BITS = 1, 3, 14
 SAMPLE = 1000
 EPOCHS = 3
+QUANTILE = 0.002
+LEAST = 0.3
 UND = "und"
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -54,6 +57,13 @@ def document_frequencies(train: DataFrame):
     return train.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
+def least_score(weights, t, held):
+    """The QUANTILE of the scores of held-back rows whose best language is theirs."""
+    found = [(softmax(logits(weights, r, v) / t), y) for r, v, y in held]
+    right = [float(p[y]) for p, y in found if p.argmax() == y]
+    return float(np.quantile(right, QUANTILE, method="lower")) if right else LEAST
+
+
 def trainer(langs, idf):
     def train(rows):
         rows = rows.sort_values(["h", "lang", "text"], kind="stable")
@@ -63,14 +73,14 @@ def trainer(langs, idf):
         weights = Ftrl(1 << BITS, len(langs)).fit(used, EPOCHS)
         t = temperature([logits(weights, r, v) for r, v, _ in held], [y for _, _, y in held])
         out = io.BytesIO()
-        np.savez_compressed(out, weights=weights.astype(np.float32), t=t)
+        np.savez_compressed(out, weights=weights.astype(np.float32), t=t, least=least_score(weights, t, held))
         return pd.DataFrame({"model": [out.getvalue()]})
 
     return train
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE):
-    """The model (languages, idf, weights, temperature) or None if no row can be learned from."""
+    """The model (languages, idf, weights, temperature, least score) or None if no row can be learned from."""
     train = docs.filter(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
@@ -86,13 +96,13 @@ def learn(docs: DataFrame, sample: int = SAMPLE):
     if not blob:
         return None
     got = np.load(io.BytesIO(blob[0]["model"]))
-    return langs, idf, got["weights"].astype(float), float(got["t"])
+    return langs, idf, got["weights"].astype(float), float(got["t"]), float(got["least"])
 
 
 def predict(text, model):
     if model is None or not has_letter(text):
         return UND, 0.0
-    langs, idf, weights, t = model
+    langs, idf, weights, t, _ = model
     p = softmax(logits(weights, *tf_idf(text, idf)) / t)
     k = int(p.argmax())
     return langs[k], float(p[k])
@@ -115,8 +125,11 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return scored.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.3, sample: int = SAMPLE) -> DataFrame:
-    """The rows, all columns, whose language is known: a text with letters and a score of `least` or more."""
-    run = predictor(docs.sparkSession, learn(docs, sample))
+def keep_identified(docs: DataFrame, least: float | None = None, sample: int = SAMPLE) -> DataFrame:
+    """The rows, all columns, whose language is known: a text with letters and a score of `least` (the model's) or more."""
+    model = learn(docs, sample)
+    if least is None:
+        least = model[-1] if model else LEAST
+    run = predictor(docs.sparkSession, model)
     scored = docs.select(F.struct("*").alias("doc")).select("doc", run("doc.text").alias("p"))
     return scored.filter((F.col("p.lang_pred") != UND) & (F.col("p.score") >= least)).select("doc.*")
