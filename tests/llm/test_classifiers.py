@@ -56,15 +56,6 @@ def test_language_of_awkward_rows(spark):
     assert not {1003, 1004, 1005, 1008} & {r["doc_id"] for r in kept.collect()}
 
 
-def test_texts_in_no_learned_language_are_rejected(spark):
-    strange, draw = ["日本語のテキスト", "Это русский текст", "ψχω ξζ", "x 12345 %%%"], random.Random(3)
-    labelled = [doc(r[0], r[1], draw.choice(sorted(SYLLABLES)) if draw.random() < 0.1 else r[2]) for r in corpus(600)]
-    rows = labelled + [doc(5000 + k, text) for k, text in enumerate(strange)]
-    kept = {r["doc_id"] for r in langid.keep_identified(documents(spark, rows)).collect()}
-    assert not kept & set(range(5000, 5000 + len(strange)))
-    assert len(kept) >= 0.95 * 600
-
-
 def test_nothing_to_learn_from(spark):
     empty = spark.createDataFrame([], DOCS)
     assert langid.identify(empty).count() == 0
