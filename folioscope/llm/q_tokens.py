@@ -1,5 +1,6 @@
-"""Registered queries of packing and of the binary token output."""
+"""Registered queries of packing, of the binary token output and of the alignment of two tokenizers."""
 
+from .align import align
 from .common import table
 from .dac import read_documents, write_blocks
 from .packing import pack_documents
@@ -14,5 +15,9 @@ def op9_addressable_ids(spark, sf_dir):
     return read_documents(write_blocks(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
-QUERIES = {"op5_best_fit_packing": op5_best_fit_packing, "op9_addressable_ids": op9_addressable_ids}
+def op13_tokenizer_alignment(spark, sf_dir):
+    return align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+QUERIES = {"op5_best_fit_packing": op5_best_fit_packing, "op9_addressable_ids": op9_addressable_ids, "op13_tokenizer_alignment": op13_tokenizer_alignment}
 ORACLES = {}
