@@ -2,8 +2,8 @@
 
 A text, one space before it, is encoded by A (byte-level BPE) and by B (pieces, which add that space themselves). Byte
 offsets where tokens of both end cut the text into groups, and the two tokens that end there are linked. Both tokenizers
-always cut before a lone space and around a lone line feed, so a text is aligned chunk by chunk and every distinct chunk
-once. Strings of special tokens are plain text.
+always cut before a lone space, around a lone line feed and between a letter and a mark after it (the pieces are checked
+for it), so a text is aligned chunk by chunk, and a chunk only if a bounded cache does not hold it. Strings of special tokens are plain text.
 
 Pair counts: documents are taken in blocks. A block holds, per id pair, a compressed bitmap of its documents with
 multiplicity planes: plane k has the documents whose number of such links has bit k set. Planes are lists of 16-bit
@@ -18,6 +18,9 @@ its own if it fills one. Other columns are not read. An empty table gives an emp
 """
 
 import hashlib
+import re
+from array import array
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +29,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
-from .tokens import LONG, Cache, Encoder
+from .tokens import LONE_SPACE, LONG, ODD_SPACES, Cache, byte_letters
 
 #: Chunks of text per block, documents per block, parts of the pairs, entries of one generation of the chunk cache.
 BLOCK_CHUNKS = 1 << 20
 BLOCK_DOCS = 1 << 16
 BUCKETS = 64
-CACHE_ENTRIES = 100_000
+CACHE_ENTRIES = 250_000
 MARK = "▁"
+AFTER_LETTER = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ][.,;:!?]")
+BEFORE_MARK = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[.,;:!?])")
 
 DOC = [("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("groups_sha256", pa.string())]
 DOC_SQL = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string"
@@ -46,60 +51,96 @@ RESULT_SQL = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_be
 # ---- one chunk ----------------------------------------------------------------------------------------------------
 
 class Aligner:
-    """chunk -> (A tokens, B tokens, groups, groups as text, linked pairs as a << 32 | b), or None if bytes differ."""
+    """chunk -> (A tokens, B tokens, groups, groups as text, linked pairs as 64-bit numbers a << 32 | b)."""
 
     def __init__(self, path_a, path_b, entries=CACHE_ENTRIES):
         from sentencepiece import SentencePieceProcessor
 
-        self.a = Encoder(path_a, entries)
-        self.a.library.encode_special_tokens = True
-        self.b = SentencePieceProcessor(model_file=path_b)
-        from_letter = {letter: byte for byte, letter in self.a.letters.items()}
-        self.a_bytes = {i: len(token) for token, i in self.a.library.get_vocab().items() if all(x in from_letter for x in token)}
+        self.a, self.b = byte_level(path_a), SentencePieceProcessor(model_file=path_b)
+        self.a_bytes = [len(self.a.decode_single_token_bytes(i)) for i in range(self.a.n_vocab)]
         pieces = [(i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
-        if any(MARK in p.lstrip(MARK) or "\n" in p for _, p in pieces):
+        if any(MARK in p.lstrip(MARK) or "\n" in p or AFTER_LETTER.search(p) for _, p in pieces):
             raise ValueError("a piece crosses the places where texts are cut")
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in pieces]
+        self.b_bytes = [1 if self.b.is_byte(i) else len(p.replace(MARK, " ").encode()) for i, p in pieces]
         self.lead = self.b.encode("\n")
+        self.names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
         self.cache = Cache(entries)
 
     def chunks(self, text):
-        return [c for c in self.a.chunks(" " + text) if c]
-
-    def make_room(self):
-        for cache in (self.cache, self.a.words, self.a.pieces):
-            cache.make_room()
-
-    def aligned(self, chunk):
-        known = self.cache.young.get(chunk) or self.cache.old.get(chunk)
-        if known is None:
-            known = self.align(chunk)
-        if len(chunk) <= LONG:
-            self.cache.young[chunk] = known
-        return known
-
-    def align(self, chunk):
-        a = np.frombuffer(self.a.word(chunk), "<u4").tolist()
-        b = self.b.encode("\n" + chunk)
-        if b[: len(self.lead)] != self.lead:
+        """Cut before every lone space, around lone line feeds, and between a letter and a mark after it."""
+        text = " " + text
+        odd = "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\x01" in text or any(c in text for c in ODD_SPACES)
+        if odd:
+            return [c for c in LONE_SPACE.split(text) if c]
+        return [c for c in BEFORE_MARK.sub("\x01", text).replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01") if c]
+
+    def aligned(self, chunks):
+        """One result per chunk; those not seen lately are encoded together."""
+        self.cache.make_room()
+        young, old, out, new = self.cache.young, self.cache.old, [], []
+        for c in chunks:
+            known = young.get(c) or old.get(c)
+            if known is None:
+                new.append(c)
+            elif len(c) <= LONG:
+                young[c] = known
+            out.append(known)
+        if new:
+            pieces = iter(self.b.encode(["\n" + c for c in new], num_threads=1))
+            for k, known in enumerate(out):
+                if known is None:
+                    c = chunks[k]
+                    out[k] = self.align(c, next(pieces))
+                    if len(c) <= LONG:
+                        young[c] = out[k]
+        return out
+
+    def align(self, chunk, b):
+        """Both vocabularies give back the bytes of a text without MARK; their sizes are compared all the same."""
+        a, lead = self.a.encode_ordinary(chunk), len(self.lead)
+        if b[:lead] != self.lead:
             raise ValueError("the leading line feed is not cut off")
-        b = b[len(self.lead) :]
-        size = len(chunk.encode())
-        if b"".join(self.b_bytes[i] for i in b) != chunk.encode() or sum(self.a_bytes[i] for i in a) != size:
-            return (0, 0, 0, "", None)
-        groups, links, i, j, at_a, at_b, first_a, first_b = [], [], 0, 0, 0, 0, 0, 0
-        while i < len(a):
-            if at_a <= at_b:
-                at_a += self.a_bytes[a[i]]
-                i += 1
-            while at_b < at_a:
-                at_b += len(self.b_bytes[b[j]])
-                j += 1
-            if at_a == at_b:
-                links.append(a[i - 1] << 32 | b[j - 1])
-                groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
+        b = b[lead:]
+        ends_a = list(accumulate(map(self.a_bytes.__getitem__, a)))
+        ends_b = list(accumulate(map(self.b_bytes.__getitem__, b)))
+        if not ends_a[-1] == ends_b[-1] == len(chunk.encode()):
+            raise ValueError("a tokenizer loses bytes")
+        names, groups, links, i, j, n = self.names, [], array("q"), 0, 0, len(a)
+        while i < n:
+            end_a, end_b = ends_a[i], ends_b[j]
+            if end_a == end_b:
+                groups.append(f"{names[a[i]]}|{names[b[j]]}")
+            else:
                 first_a, first_b = i, j
-        return (len(a), len(b), len(groups), ";".join(groups), links)
+                while end_a != end_b:
+                    if end_a < end_b:
+                        i += 1
+                        end_a = ends_a[i]
+                    else:
+                        j += 1
+                        end_b = ends_b[j]
+                groups.append(",".join([names[x] for x in a[first_a : i + 1]]) + "|" + ",".join([names[x] for x in b[first_b : j + 1]]))
+            links.append(a[i] << 32 | b[j])
+            i, j = i + 1, j + 1
+        return (n, len(b), len(groups), ";".join(groups), links.tobytes())
+
+
+def byte_level(path):
+    """The vocabulary of a byte-level BPE file whose merges are ranked by their ids, as an encoder without special tokens."""
+    import json
+
+    from public_tokenizers import PATTERN
+    from tiktoken import Encoding
+
+    with open(path, encoding="utf-8") as f:
+        kept = json.load(f)
+    back = {letter: byte for byte, letter in byte_letters().items()}
+    special = {t["content"] for t in kept["added_tokens"]}
+    vocabulary = kept["model"]["vocab"]
+    merged = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in kept["model"]["merges"]]
+    if merged != sorted(merged) or kept["normalizer"] is not None:
+        raise ValueError("merges are not ranked by id")
+    return Encoding("a", pat_str=PATTERN, mergeable_ranks={bytes(back[x] for x in t): i for t, i in vocabulary.items() if t not in special}, special_tokens={})
 
 
 _ALIGNERS = {}
@@ -213,14 +254,11 @@ class BlockBuilder:
 
     def add(self, doc_id, text):
         chunks = self.aligner.chunks(text) if text and MARK not in text else []
-        self.aligner.make_room()
-        for c in set(chunks).difference(self.number):
-            found = self.aligner.aligned(c)
+        new = list(set(chunks).difference(self.number))
+        for c, found in zip(new, self.aligner.aligned(new), strict=True):
             self.number[c], self.text[c] = len(self.made), found[3]
             self.made.append(found)
         used = np.fromiter(map(self.number.__getitem__, chunks), "i8", len(chunks))
-        if any(self.made[k][4] is None for k in set(used.tolist())):
-            used = used[:0]
         digest = hashlib.sha256(";".join(map(self.text.__getitem__, chunks)).encode()).hexdigest() if len(used) else ""
         self.docs.append((doc_id, digest))
         self.used.append(used)
@@ -246,9 +284,9 @@ class BlockBuilder:
         self.clear()
 
     def planes(self, block, n, used, owner):
-        links = [m[4] or () for m in self.made]
-        per_chunk = np.array([len(x) for x in links], "i8")
-        flat = np.fromiter((x for y in links for x in y), "i8", int(per_chunk.sum()))
+        links = [m[4] for m in self.made]
+        per_chunk = np.array([len(x) // 8 for x in links], "i8")
+        flat = np.frombuffer(b"".join(links), "i8")
         first = np.cumsum(per_chunk) - per_chunk
         pairs = np.unique(flat)
         pairs = pairs[np.argsort(bucket_of(pairs), kind="stable")]
