@@ -16,8 +16,9 @@ FIRST_SPLIT have single tokens only.
 Levels need no exact counts: any function of the token loses nothing. Each task counts the tokens of its distinct sets and
 reports those it met twice (so a count is short by at most one per task); the HEAVY most counted ones are sent to all tasks.
 
-Candidates. A bucket (a signature) of up to LIMIT classes gives its pairs of fitting sizes; the pairs are verified on the
-sets, which are made again from the texts of candidate classes only. Larger buckets give a chain; chained classes are a
+Candidates. A bucket (a signature) of up to LIMIT classes gives its pairs of fitting sizes. Pairs whose parity sketches
+differ in more bits than linked sets can differ in tokens go; the others are verified on the sets, which are made again from
+the texts of candidate classes only. Larger buckets give a chain; chained classes are a
 cluster, dealt into blocks by hash, and every two blocks meet once in a task that verifies all their pairs and returns a
 forest and link counts, never the pairs. Tokens are 64-bit hashes; two shingles of one pair of documents that collide
 would count as one (chance n * n / 2**64 for a pair).
@@ -242,11 +243,11 @@ def described(of_levels):
         def closed():
             columns = list(zip(*rows, strict=True))
             rows.clear()
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", *KEY, "signatures"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", *KEY, "signatures", "sketch"])
 
         for doc_id, tokens in each_set(batches):
-            rows.append((doc_id, *key_of(tokens), len(tokens), signatures(tokens, of_levels).tobytes() if len(tokens) else None))
+            rows.append((doc_id, *key_of(tokens), len(tokens), *((signatures(tokens, of_levels).tobytes(), sketch(tokens)) if len(tokens) else (None, None))))
             if len(rows) == 2048:
                 yield closed()
         if rows:
@@ -255,6 +256,25 @@ def described(of_levels):
     return run
 
 
+def sketch(tokens) -> bytes:
+    """Parities of the tokens by hash, one to two bits a token: sketches of two sets differ in no more bits than the sets in tokens."""
+    bits = max(64, 2 << (len(tokens).bit_length() - 1))
+    odd = np.bincount((mix(tokens + C2) & np.uint64(bits - 1)).astype("i8"), minlength=bits) & 1
+    return np.packbits(odd.astype("u1"), bitorder="little").tobytes()
+
+
+def may_link(x: bytes, y: bytes, sizes: int) -> bool:
+    """Whether the sketches allow a link of two sets of `sizes` tokens together. The longer sketch is folded to the shorter."""
+    if len(x) < len(y):
+        x, y = y, x
+    a, b = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    width = 8 * len(x)
+    while width > 8 * len(y):
+        width //= 2
+        a = (a >> width) ^ (a & ((1 << width) - 1))
+    return (100 + PERCENT) * (a ^ b).bit_count() <= (100 - PERCENT) * sizes
+
+
 # ---- candidates ---------------------------------------------------------------------------------------------------
 
 def post(batches):
@@ -287,14 +307,14 @@ def pairs_of(limit):
     def closed(sig, ids, n):
         starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         sizes = np.diff(np.append(starts, len(sig)))
-        for size in np.unique(sizes[(sizes > 1) & (sizes <= limit)]).tolist():
-            at = starts[sizes == size]
-            for i, j in choose(size, 2):
-                x, y = at + i, at + j
-                fit = (100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y])) & (ids[x] != ids[y])
-                if fit.any():
-                    x, y = ids[x[fit]], ids[y[fit]]
-                    yield edges(np.minimum(x, y), np.maximum(x, y), False)
+        small = np.repeat(sizes <= limit, sizes)
+        for step in range(1, int(sizes[sizes <= limit].max(initial=1))):
+            x = np.flatnonzero((sig[:-step] == sig[step:]) & small[:-step])
+            y = x + step
+            fit = (100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y])) & (ids[x] != ids[y])
+            if fit.any():
+                x, y = ids[x[fit]], ids[y[fit]]
+                yield edges(np.minimum(x, y), np.maximum(x, y), False)
         for s, size in zip(starts[sizes > limit], sizes[sizes > limit], strict=True):
             yield edges(ids[s : s + size - 1], ids[s + 1 : s + size], True)
 
@@ -315,6 +335,12 @@ def pairs_of(limit):
     return lambda batches: together(run(batches))
 
 
+def screen(batches):
+    for batch in batches:
+        keep = [may_link(x.as_py(), y.as_py(), n) for x, y, n in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in range(2)], names=["a", "b"])
+
+
 def linked(common, n, m):
     return 100 * common >= PERCENT * (n + m - common)
 
@@ -398,15 +424,19 @@ def cluster_links(clusters: DataFrame, classes: DataFrame, sets: DataFrame, bloc
 def join(docs: DataFrame, limit=LIMIT, frequent=FREQUENT, block_classes=BLOCK_CLASSES) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (other documents that this one links to)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stored(texts.mapInArrow(described(levels(texts, frequent)), "doc_id long, k1 long, k2 long, n long, signatures binary"), "join-rows")
-    grouped = rows.filter("n > 0").groupBy(*KEY).agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("signatures").alias("signatures"))
+    rows = stored(texts.mapInArrow(described(levels(texts, frequent)), "doc_id long, k1 long, k2 long, n long, signatures binary, sketch binary"), "join-rows")
+    grouped = rows.filter("n > 0").groupBy(*KEY).agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("signatures").alias("signatures"), F.first("sketch").alias("sketch"))
     classes = stored(grouped.withColumn("id", F.monotonically_increasing_id()), "join-classes")
     posted = classes.select("id", "n", "signatures").mapInArrow(lambda b: together(post(b)), "sig long, id long, n long")
     found = stored(posted.repartition("sig").sortWithinPartitions("sig").mapInArrow(pairs_of(limit), "a long, b long, chained boolean"), "join-candidates")
     clusters = stored(components(found.filter("chained").select("a", "b").distinct()).select(F.col("node").alias("id"), "root"), "join-clusters")
     one, two = (clusters.select(F.col("id").alias(c), F.col("root").alias("root_" + c)) for c in "ab")
     pairs = found.filter("not chained").select("a", "b").distinct().join(one, "a", "left").join(two, "b", "left")
-    pairs = stored(pairs.filter("root_a is null or root_b is null or root_a != root_b").select("a", "b"), "join-pairs")
+    apart = pairs.filter("root_a is null or root_b is null or root_a != root_b").select("a", "b")
+    light = classes.select("id", "sketch", F.col("n").alias("m"))
+    one, two = (light.select(F.col("id").alias(c), F.col("sketch").alias("sketch_" + c), F.col("m").alias("m_" + c)) for c in "ab")
+    sketched = apart.join(one, "a").join(two, "b").select("a", "b", "sketch_a", "sketch_b", F.expr("m_a + m_b").alias("sizes"))
+    pairs = stored(sketched.mapInArrow(screen, "a long, b long"), "join-pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(clusters.select("id")).distinct()
     sets = candidate_sets(texts, classes.join(ids, "id").select("id", "least_id", *KEY))
     with_a = pairs.join(sets.withColumnRenamed("id", "a").withColumnRenamed("set", "set_a"), "a")
@@ -421,6 +451,6 @@ def join(docs: DataFrame, limit=LIMIT, frequent=FREQUENT, block_classes=BLOCK_CL
     rooted = classes.select("id", "least_id", "copies", *KEY).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")).join(links, "id", "left")
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = rooted.join(least, "root").select(*KEY, "component_id", (F.col("copies") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"))
-    whole = rows.drop("signatures").join(named, KEY, "left")
+    whole = rows.select("doc_id", *KEY).join(named, KEY, "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return whole.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -71,6 +71,19 @@ def test_given_documents_by_brute_force(spark, sf):
     assert rows_of(m.join(docs)) == brute_force(docs.collect())
 
 
+def test_sketches_never_rule_out_a_link():
+    draw, out = random.Random(4), 0
+    for _ in range(400):
+        n = draw.randint(1, 300)
+        base = np.array([draw.getrandbits(64) for _ in range(n)], "u8")
+        other = np.concatenate([base[draw.randint(0, n // 5) :], np.array([draw.getrandbits(64) for _ in range(draw.randint(0, n // 4))], "u8")])
+        may = m.may_link(m.sketch(base), m.sketch(other), len(base) + len(other))
+        common = len(np.intersect1d(base, other))
+        assert may or not m.linked(common, len(base), len(other))
+        out += not may
+    assert out > 50
+
+
 def words_of(n, seed):
     draw = random.Random(seed)
     return [f"t{draw.randrange(10 ** 9)}" for _ in range(n)]
