@@ -1,41 +1,7 @@
-"""Driver-side data is taken in blocks of fixed size, whatever the number of rows."""
-
-from itertools import chain, groupby
+"""Cutting a table to the keys that are asked for."""
 
 from pyspark.sql import DataFrame
 
-from ..session import cut
-
-
-def request_blocks(rows: DataFrame, block: int, key="query_id"):
-    """Lists of rows holding at most `block` keys each; rows of a key stay together. The driver reads one block at a time."""
-    ordered = rows.repartitionByRange(key).sortWithinPartitions(key)
-    held, keys = [], 0
-    for _, group in groupby(ordered.toLocalIterator(), key=lambda r: r[key]):
-        if keys == block:
-            yield held
-            held, keys = [], 0
-        held.extend(group)
-        keys += 1
-    if held:
-        yield held
-
-
-def over_blocks(rows: DataFrame, block: int, scan):
-    """Union of `scan(rows of a block)`. Several blocks are written one after the other, so that only one is held."""
-    blocks = request_blocks(rows, block)
-    first = next(blocks, None)
-    if first is None:
-        return None
-    second = next(blocks, None)
-    out = scan(first)
-    if second is None:
-        return out
-    out = cut(out)
-    for more in chain([second], blocks):
-        out = out.unionByName(cut(scan(more)))
-    return out
-
 
 def restrict(df: DataFrame, keys: DataFrame, on) -> DataFrame:
     """Rows of `df` whose key occurs in `keys`."""

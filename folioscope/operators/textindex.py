@@ -4,23 +4,15 @@
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.admission import match_phrases
 from ..functions.porter import stem
 from ..functions.text import col, strip_accents
 from ..params import REQUEST_BLOCK
-from .best import RunningBest
-from .bounded import over_blocks
-
-# Fixed values of the ranking function.
-K1, B = 1.2, 0.75
-IDF_FLOOR = 1e-6
-
-QUERY_BLOCK = 256  # queries scored together inside one task
-_SCORED = "query_id long, chunk_id long, kw_score double"
-ROW_BLOCK = 1024  # chunks scored together inside one task
+from . import postings
+from .postings import IDF_FLOOR
 
 
 def tokens(text):
@@ -58,127 +50,12 @@ def query_phrases(queries: DataFrame, query="query", stemming=False) -> DataFram
     return phrases.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("weight"))
 
 
-class _Matcher:
-    """Finds phrase occurrences in a batch of token lists; carries only the bounded query side."""
-
-    def __init__(self, phrases):
-        self.vocab = sorted({w for ph in phrases for w in ph})
-        ids = {w: i for i, w in enumerate(self.vocab)}
-        self.phrases = [np.array([ids[w] for w in ph]) for ph in phrases]
-        self.single = {int(ph[0]): i for i, ph in enumerate(self.phrases) if len(ph) == 1}
-        self.multi = [(i, ph) for i, ph in enumerate(self.phrases) if len(ph) > 1]
-
-    def counts(self, lists, value_set):
-        """(row, phrase, tf) triples and the row lengths."""
-        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = pc.list_flatten(lists)
-        ids = pc.fill_null(pc.index_in(flat, value_set=value_set), -1).to_numpy(zero_copy_only=False)
-        row_of = np.repeat(np.arange(len(lengths)), lengths)
-        found = [(row_of[ids >= 0], self._single_ids(ids[ids >= 0]))]
-        places = np.argsort(ids, kind="stable") if self.multi else None
-        bounds = np.searchsorted(ids[places], np.arange(len(self.vocab) + 1)) if self.multi else None
-        for i, ph in self.multi:
-            rarest = int(np.argmin(bounds[ph + 1] - bounds[ph]))
-            at = places[bounds[ph[rarest]]:bounds[ph[rarest] + 1]] - rarest
-            at = at[(at >= 0) & (at + len(ph) <= len(ids))]
-            for j, w in enumerate(ph):
-                at = at[ids[at + j] == w]
-            at = at[row_of[at] == row_of[at + len(ph) - 1]]
-            found.append((row_of[at], np.full(len(at), i)))
-        rows = np.concatenate([f[0] for f in found])
-        phr = np.concatenate([f[1] for f in found]).astype(np.int64)
-        rows, phr = rows[phr >= 0], phr[phr >= 0]
-        key, tf = np.unique(rows * len(self.phrases) + phr, return_counts=True)
-        return key // len(self.phrases), key % len(self.phrases), tf, lengths
-
-    def _single_ids(self, token_ids):
-        table = np.full(len(self.vocab), -1, dtype=np.int64)
-        for token, phrase in self.single.items():
-            table[token] = phrase
-        return table[token_ids]
-
-
-def _phrase_statistics(index, matcher):
-    """Per phrase the number of chunks holding it, plus corpus size and total length; partial sums per batch."""
-    n = len(matcher.phrases)
-
-    def partial(batches):
-        value_set = pa.array(matcher.vocab, pa.string())
-        df, rows, total = np.zeros(n, dtype=np.int64), 0, 0
-        for b in batches:
-            _, phr, _, lengths = matcher.counts(b.column("tokens"), value_set)
-            df += np.bincount(phr, minlength=n)
-            rows += len(lengths)
-            total += int(lengths.sum())
-        hit = np.flatnonzero(df)
-        yield pa.RecordBatch.from_pydict({
-            "phrase": np.concatenate([hit, [-1, -2]]).astype(np.int64),
-            "n": np.concatenate([df[hit], [rows, total]]).astype(np.int64),
-        })
-
-    sums = index.select("tokens").mapInArrow(partial, "phrase long, n long").groupBy("phrase").agg(F.sum("n").alias("n"))
-    got = {r["phrase"]: r["n"] for r in sums.collect()}  # at most one row per broadcast phrase
-    return np.array([got.get(i, 0) for i in range(n)]), got.get(-1, 0), got.get(-2, 0)
-
-
-def _idf(n_docs, df):
-    raw = np.log((n_docs - df + 0.5) / (df + 0.5))
-    return np.where(raw > 0, raw, IDF_FLOOR)
-
-
-def _scan(index, rows, depth):
-    """Score inside the scan: each batch keeps its own best `depth` per query, so only those are shuffled."""
-    phrases = sorted({tuple(r["phrase"]) for r in rows})
-    number = {ph: i for i, ph in enumerate(phrases)}
-    matcher = _Matcher(phrases)
-    df, n_docs, total = _phrase_statistics(index, matcher)
-    if not n_docs:
-        return index.sparkSession.createDataFrame([], _SCORED)
-    idf, avg_len = _idf(n_docs, df), max(total / n_docs, 1e-9)
-    ids = sorted({r["query_id"] for r in rows})
-    pos = {q: i for i, q in enumerate(ids)}
-    triples = np.array([(pos[r["query_id"]], number[tuple(r["phrase"])], r["weight"]) for r in rows], dtype=np.int64)
-
-    def score(batches):
-        value_set = pa.array(matcher.vocab, pa.string())
-        blocks = []  # per block of requests, ordered by phrase: where a phrase begins, how many requests score it, which, how much
-        for lo in range(0, len(ids), QUERY_BLOCK):
-            part = triples[(triples[:, 0] >= lo) & (triples[:, 0] < lo + QUERY_BLOCK)]
-            part = part[np.argsort(part[:, 1], kind="stable")]
-            begins = np.searchsorted(part[:, 1], np.arange(len(phrases) + 1))
-            blocks.append((lo, min(QUERY_BLOCK, len(ids) - lo), begins[:-1], np.diff(begins), part[:, 0] - lo, part[:, 2]))
-        best = RunningBest(depth, len(ids))
-        for b in batches:
-            for off in range(0, b.num_rows, ROW_BLOCK):
-                piece = b.slice(off, ROW_BLOCK)
-                chunk_ids = piece.column("chunk_id").to_numpy(zero_copy_only=False)
-                row, phr, tf, lengths = matcher.counts(piece.column("tokens"), value_set)
-                sat = idf[phr] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[row] / avg_len))
-                for lo, width, begins, many, asked_by, weight in blocks:
-                    times = many[phr]  # every hit meets only the requests that score its phrase
-                    use = np.repeat(begins[phr], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                    cell = np.repeat(row, times) * width + asked_by[use]
-                    total = np.bincount(cell, weights=np.repeat(sat, times) * weight[use], minlength=piece.num_rows * width)
-                    scores = np.round(total, 9).reshape(piece.num_rows, width)
-                    for q in np.flatnonzero(scores.any(axis=0)):
-                        hit = np.flatnonzero(scores[:, q] > 0)
-                        best.add(ids[lo + q], chunk_ids[hit], -scores[hit, q])
-        q, c, k = best.result()
-        yield pa.RecordBatch.from_pydict({"query_id": q, "chunk_id": c, "kw_score": -k})
-
-    return index.select("chunk_id", "tokens").mapInArrow(score, _SCORED)
-
-
 def bm25_topn(queries: DataFrame, index: DataFrame, depth: int, block: int = REQUEST_BLOCK, stemming=False) -> DataFrame:
-    """(query_id, chunk_id, kw_score, kw_rank), the best `depth` chunks per query, best first. Every block of requests is
-    scored inside a scan of the index; what is shuffled is each task's best `depth` per request. `stemming` must be that of
-    the index."""
-    scored = over_blocks(query_phrases(queries, stemming=stemming), block, lambda rows: _scan(index, rows, depth))
-    if scored is None:
-        return index.sparkSession.createDataFrame([], _SCORED + ", kw_rank int")
-    best = Window.partitionBy("query_id").orderBy(F.desc("kw_score"), "chunk_id")
-    return scored.withColumn("kw_rank", F.row_number().over(best)).filter(F.col("kw_rank") <= depth)
+    """(query_id, chunk_id, kw_score, kw_rank), the best `depth` chunks per query, best first. `index` is a written
+    inverted index, or the tokens (chunk_id, tokens) to make one of; `stemming` must be that of the index."""
+    if "tokens" in index.columns:
+        index = postings.write_postings(index)
+    return postings.top(postings.search(query_phrases(queries, stemming=stemming), index, depth, block), depth)
 
 
 def corpus_statistics(index: DataFrame) -> DataFrame:

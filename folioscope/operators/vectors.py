@@ -2,14 +2,15 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col
 from ..params import REQUEST_BLOCK
-from .best import RunningBest
-from .bounded import over_blocks
 
+PART_VECTORS = 8192
+QUERY_ROWS = 256  # requests compared at once inside one group
 _SCHEMA = "query_id long, chunk_id long, dist double"
 
 
@@ -29,46 +30,47 @@ def cosine(a, b):
     return dot / (norm(a) * norm(b))
 
 
-def _matrix(series):
-    m = np.stack(series.to_numpy()).astype(np.float64)
+def _matrix(column):
+    """Rows of unit length; a zero vector stays zero."""
+    column = column.combine_chunks()
+    m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     length = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
 
-def _add_nearest(best, q_ids, q, c_ids, c):
-    dist = np.round(1.0 - c @ q.T, 9)
-    for j, query in enumerate(q_ids):
-        best.add(query, c_ids, dist[:, j])
+def _nearest(depth):
+    """Requests and vectors of one (part, block) -> the part's `depth` nearest of every request."""
 
+    def run(asked, held):
+        ids, chunk_ids, out = asked["query_id"].to_numpy(), held["chunk_id"].to_numpy(), []
+        if len(ids) and len(chunk_ids):
+            q, c = _matrix(asked["embedding"]), _matrix(held["embedding"])
+            for lo in range(0, len(ids), QUERY_ROWS):
+                dist = np.round(1.0 - q[lo : lo + QUERY_ROWS] @ c.T, 9)
+                for query, row in zip(ids[lo : lo + QUERY_ROWS], dist):
+                    near = np.flatnonzero(row <= np.partition(row, depth - 1)[depth - 1]) if len(row) > depth else np.arange(len(row))
+                    near = near[np.lexsort((chunk_ids[near], row[near]))[:depth]]
+                    out.append((np.full(len(near), query), chunk_ids[near], row[near]))
+        q, c, d = (np.concatenate(x) for x in zip(*out)) if out else ([], [], [])
+        return pa.table({"query_id": pa.array(q, pa.int64()), "chunk_id": pa.array(c, pa.int64()), "dist": pa.array(d, pa.float64())})
 
-def _frame(best):
-    q, c, d = best.result()
-    return pd.DataFrame({"query_id": q, "chunk_id": c, "dist": d})
+    return run
 
 
-def _scan(vectors, rows, depth):
-    """Each task keeps its own best `depth` per query, so only those are shuffled."""
-    ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-    q = _matrix(pd.Series([np.array(r["embedding"], dtype=np.float64) for r in rows]))
-
-    def score(batches):
-        best = RunningBest(depth, len(ids))
-        for pdf in batches:
-            if len(pdf):
-                _add_nearest(best, ids, q, pdf["chunk_id"].to_numpy(), _matrix(pdf["embedding"]))
-        yield _frame(best)
-
-    return vectors.select("chunk_id", "embedding").mapInPandas(score, _SCHEMA)
+def dealt(rows: DataFrame, key, group, groups, met, others):
+    """Rows under their own group number and under every number of the side they meet."""
+    own = F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")
+    return rows.withColumn(group, own).withColumn(met, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
 
-def knn_topn(queries: DataFrame, vectors: DataFrame, depth: int, block: int = REQUEST_BLOCK) -> DataFrame:
-    """(query_id, chunk_id, dist, vec_rank), the `depth` nearest vectors per query, exact. Every block of requests is
-    compared inside a scan of the vectors."""
-    q = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
-    v = vectors.filter(F.col("embedding").isNotNull())
-    near = over_blocks(q, block, lambda rows: _scan(v, rows, depth))
-    if near is None:
-        return vectors.sparkSession.createDataFrame([], _SCHEMA + ", vec_rank int")
+def knn_topn(queries: DataFrame, vectors: DataFrame, depth: int, block: int = REQUEST_BLOCK, part: int = PART_VECTORS) -> DataFrame:
+    """(query_id, chunk_id, dist, vec_rank), the `depth` nearest vectors per query, exact. Requests in blocks and vectors
+    in parts are both tables; every block meets every part once, in one plan whatever their number."""
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding").filter(F.col("embedding").isNotNull())
+    v = vectors.select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding").filter(F.col("embedding").isNotNull())
+    blocks, parts = (max(1, -(-df.count() // size)) for df, size in ((q, block), (v, part)))
+    q, v = dealt(q, "query_id", "block", blocks, "part", parts), dealt(v, "chunk_id", "part", parts, "block", blocks)
+    near = q.groupBy("part", "block").cogroup(v.groupBy("part", "block")).applyInArrow(_nearest(depth), _SCHEMA)
     best = Window.partitionBy("query_id").orderBy("dist", "chunk_id")
     return near.withColumn("vec_rank", F.row_number().over(best)).filter(F.col("vec_rank") <= depth)
 

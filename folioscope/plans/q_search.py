@@ -7,7 +7,6 @@ from ..operators import rank as R
 from ..operators import textindex as ti
 from ..operators import vectors as vx
 from ..params import DEFAULTS
-from ..session import written
 from ..sources import corpus as c
 from ..sources import notes as src
 from .catalog import query, table
@@ -138,12 +137,12 @@ _BM_COLS = "SELECT query_id, chunk_id, kw_rank, round(kw_score, 6) AS kw_score F
 
 
 def _bm(s, p, block):
-    return ti.bm25_topn(c.sentences(s, p), written(ti.tokenise(c.lines(s, p)), "tokens"), 40, block=block).select(
+    return ti.bm25_topn(c.sentences(s, p), ti.tokenise(c.lines(s, p)), 40, block=block).select(
         "query_id", "chunk_id", "kw_rank", F.round("kw_score", 6).alias("kw_score"))
 
 
 query("r04_bm25_lines", "WITH" + _LINES + _BM_COLS)(lambda s, p: _bm(s, p, 2048))
-query("r04_bm25_stemmed")(lambda s, p: ti.bm25_topn(c.sentences(s, p), written(ti.tokenise(c.lines(s, p), stemming=True), "tokens"), 40, stemming=True).select(
+query("r04_bm25_stemmed")(lambda s, p: ti.bm25_topn(c.sentences(s, p), ti.tokenise(c.lines(s, p), stemming=True), 40, stemming=True).select(
     "query_id", "chunk_id", "kw_rank", F.round("kw_score", 6).alias("kw_score")))
 query("j15_bm25_by_joins", "WITH" + _LINES + _BM_COLS)(lambda s, p: _bm(s, p, 64))
 query("t02_bm25_first_ten", "WITH" + REQ + "," + TEXT + " SELECT query_id, chunk_id FROM kwr WHERE kw_rank <= 10")(

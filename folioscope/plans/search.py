@@ -10,10 +10,11 @@ from ..functions.text import basename_slug
 from ..operators import rank as R
 from ..operators.bounded import restrict
 from ..operators.rules import suggest
+from ..operators.postings import write_postings
 from ..operators.textindex import bm25_topn, tokenise
 from ..operators.vectors import knn_topn
 from ..params import DEFAULTS, REQUEST_BLOCK
-from ..session import cut, written
+from ..session import cut
 
 REQUEST_DEFAULTS = {
     "k": 10, "doc_type": None, "priority_only": False, "recency": False, "persona": "",
@@ -31,12 +32,12 @@ class Corpus:
     links: DataFrame
     supersessions: DataFrame
     beliefs: DataFrame  # rel_path, persona, state
-    index: DataFrame = None  # chunk_id, tokens; built from the chunks when absent
+    index: DataFrame = None  # a written inverted index; built from the chunks when absent
     stemming: bool = False  # Porter stems on both sides of keyword search
 
-    def token_index(self):
-        """Written once per search: it is read for the statistics and for the scores."""
-        return self.index if self.index is not None else written(tokenise(self.chunks, stemming=self.stemming), "tokens")
+    def postings(self):
+        """The inverted index; written once per search unless the corpus brings one."""
+        return self.index if self.index is not None else write_postings(tokenise(self.chunks, stemming=self.stemming))
 
 
 def complete(requests: DataFrame) -> DataFrame:
@@ -89,7 +90,7 @@ def hybrid_search(requests: DataFrame, corpus: Corpus, now: float, p=DEFAULTS, s
     requests, refused = refuse_out_of_scope(cut(complete(requests)))
     deepest = _depth(requests, p)
     vec = knn_topn(requests, corpus.vectors, deepest, block)
-    kw = bm25_topn(requests, corpus.token_index(), deepest, block, corpus.stemming)
+    kw = bm25_topn(requests, corpus.postings(), deepest, block, corpus.stemming)
     per_query = requests.select("query_id", F.greatest(F.col("k") * 4, F.lit(40)).alias("n"))
     if p.abstraction_topk_cap >= 0:
         per_query = per_query.withColumn("n", F.col("n") * 2)
@@ -122,7 +123,7 @@ def keyword_search(requests: DataFrame, corpus: Corpus, p=DEFAULTS, block=REQUES
     deeper = has_envelope or not corpus.beliefs.isEmpty()
     k = requests.select(F.max("k")).collect()[0][0] or 1
     times = 4 if deeper else 1
-    kw = bm25_topn(requests, corpus.token_index(), k * times, block, corpus.stemming)
+    kw = bm25_topn(requests, corpus.postings(), k * times, block, corpus.stemming)
     cand = _attach(
         kw.withColumns({"vec_rank": F.lit(None).cast("int"), "score": F.col("kw_score"), "keyword_score": F.col("kw_score")}),
         corpus, requests,
