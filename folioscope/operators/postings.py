@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import new_folder, written
+from .bounded import dealt
 
 # Fixed values of the ranking function.
 K1, B = 1.2, 0.75
@@ -58,8 +59,8 @@ def _part_rows(key, table):
 def write_postings(tokens: DataFrame, part_chunks=PART_CHUNKS) -> DataFrame:
     """(chunk_id, tokens) -> the written index."""
     parts = max(1, -(-tokens.count() // part_chunks))
-    dealt = tokens.select(F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int").alias("part"), F.col("chunk_id").cast("long").alias("chunk_id"), "tokens")
-    rows = dealt.groupBy("part").applyInArrow(_part_rows, "term string, part int, places array<long>, chunk_ids array<long>, lengths array<int>")
+    numbered = tokens.select(F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int").alias("part"), F.col("chunk_id").cast("long").alias("chunk_id"), "tokens")
+    rows = dealt(numbered, "part").groupBy("part").applyInArrow(_part_rows, "term string, part int, places array<long>, chunk_ids array<long>, lengths array<int>")
     folder = new_folder(tokens.sparkSession, "postings")
     keyed = rows.withColumn("bucket", F.when(F.col("term").isNull(), F.lit(-1)).otherwise(bucket_of("term")))
     keyed.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(folder)
@@ -111,7 +112,7 @@ def phrase_hits(phrases: DataFrame, index: DataFrame) -> DataFrame:
     used = [r.bucket for r in terms.select("bucket").distinct().collect()]  # at most BUCKETS numbers
     found = index.filter(F.col("bucket").isin(used)).select("bucket", "term", "part", "places").join(terms, ["bucket", "term"])
     rows = found.select("part", "name", "j", "size", "places")
-    return rows.repartition("part", "name").sortWithinPartitions("part", "name", "j").mapInArrow(_intersect, _HITS)
+    return dealt(rows, "part", "name").sortWithinPartitions("part", "name", "j").mapInArrow(_intersect, _HITS)
 
 
 def _best(ids, scores, depth):
@@ -177,6 +178,7 @@ def search(phrases: DataFrame, index: DataFrame, depth: int, block: int) -> Data
     left = left.unionByName(own.select("part", F.explode(every).alias("block"), F.lit(None).cast("string").alias("name"), F.col("chunk_ids").alias("ids"), F.lit(None).cast("array<int>").alias("chunks"), F.col("lengths").alias("times")))
     # a request goes only to the parts that hold one of its phrases
     right = known.join(hits.select("name", "part"), "name").select("query_id", F.col("part").alias("in_part"), F.col("block").alias("in_block"), "name", F.col("weight").cast("double").alias("weight"), "idf", "avg_len")
+    left, right = dealt(left, "part", "block"), dealt(right, "in_part", "in_block")
     return left.groupBy("part", "block").cogroup(right.groupBy("in_part", "in_block")).applyInArrow(_score(depth), _SCORED)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import col
 from ..params import REQUEST_BLOCK
+from .bounded import dealt
 
 PART_VECTORS = 8192
 QUERY_ROWS = 256  # requests compared at once inside one group
@@ -57,7 +58,7 @@ def _nearest(depth):
     return run
 
 
-def dealt(rows: DataFrame, key, group, groups, met, others):
+def facing(rows: DataFrame, key, group, groups, met, others):
     """Rows under their own group number and under every number of the side they meet."""
     own = F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")
     return rows.withColumn(group, own).withColumn(met, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
@@ -69,7 +70,8 @@ def knn_topn(queries: DataFrame, vectors: DataFrame, depth: int, block: int = RE
     q = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding").filter(F.col("embedding").isNotNull())
     v = vectors.select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding").filter(F.col("embedding").isNotNull())
     blocks, parts = (max(1, -(-df.count() // size)) for df, size in ((q, block), (v, part)))
-    q, v = dealt(q, "query_id", "block", blocks, "part", parts), dealt(v, "chunk_id", "part", parts, "block", blocks)
+    q, v = facing(q, "query_id", "block", blocks, "part", parts), facing(v, "chunk_id", "part", parts, "block", blocks)
+    q, v = dealt(q, "part", "block"), dealt(v, "part", "block")
     near = q.groupBy("part", "block").cogroup(v.groupBy("part", "block")).applyInArrow(_nearest(depth), _SCHEMA)
     best = Window.partitionBy("query_id").orderBy("dist", "chunk_id")
     return near.withColumn("vec_rank", F.row_number().over(best)).filter(F.col("vec_rank") <= depth)
