@@ -6,8 +6,9 @@ and repositories are counted over the whole corpus. A value of WIDE or more owne
 of fewer is specific to its owners and looks live. Base spans always stay; tokens are added if they look live.
 
 DataFrame functions only. Positions are code points, end exclusive, from the lengths of the pieces between matches.
-Candidates are few, leave the texts behind in a written table and are counted and joined by hash; raw values are not
-shuffled. Owners are counted by partial aggregation, and the join is left to skew handling.
+Candidates are few, leave the texts behind in a written table and are counted and joined by hash; of a value only its hash,
+place and length are written or shuffled. Spans of one text are gathered in its row, so a text of very many matches costs
+more than in proportion to them. Owners are counted by partial aggregation, and the join is left to skew handling.
 
 Null texts are empty and hold no spans. A null owner or repository counts as one named by the empty text. Repeated rows
 are returned once each and add no owner. Columns named like the result's are kept inside `doc` and cannot clash. An empty
@@ -29,11 +30,12 @@ BASE = {
 TOKEN = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{20,}"
 KINDS = [*BASE, "owned"]
 WIDE = 3
-SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
+SPAN = "array<struct<start:bigint,kind:int,end:bigint,hash:string,size:int>>"
+CUTS = "array<struct<at:bigint,to:bigint>>"
 
 
 def spans(text, kind):
-    """Leftmost non-overlapping matches in order, each with its place and value."""
+    """Leftmost non-overlapping matches in order, each with its place, and its value's hash and length (a value ends where its match ends)."""
     pattern, group, least = BASE.get(kind, (TOKEN, 0, 20))
     found = F.arrays_zip(
         F.transform(F.split(text, pattern, -1), F.char_length).alias("gap"),
@@ -44,10 +46,10 @@ def spans(text, kind):
 
     def step(acc, m):
         start = acc["at"] + m["gap"]
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (start + m["size"]).alias("end"), m["value"].alias("value"))
+        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (start + m["size"]).alias("end"), F.sha2(m["value"], 256).alias("hash"), F.char_length(m["value"]).alias("size"))
         return F.struct((start + F.coalesce(m["size"], F.lit(0))).cast("bigint").alias("at"), F.concat(acc["spans"], F.array(span)).cast(SPAN).alias("spans"))
 
-    matched = F.filter(F.aggregate(found, zero, step)["spans"], lambda s: F.char_length(s["value"]) >= least)
+    matched = F.filter(F.aggregate(found, zero, step)["spans"], lambda s: s["size"] >= least)
     return F.when(text.rlike(pattern), matched).otherwise(F.array().cast(SPAN))
 
 
@@ -67,16 +69,16 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, text="text", owner="source", repository="lang", wide=WIDE, keep=("*",)) -> DataFrame:
-    """doc (the columns `keep`), spans: array of (start, kind, end, live, n_owners, n_repositories), values: the live ones, longest first."""
+    """doc (the columns `keep`), spans: array of (start, kind, end, live, n_owners, n_repositories), cuts: places of the live values."""
     found = marked(docs, text, owner, repository, keep)
     each = found.select("row", "owner", "repository", F.explode(F.concat("base", "tokens")).alias("s"))
-    each = each.select("row", "owner", "repository", F.sha2("s.value", 256).alias("hash"), "s.start", "s.kind", "s.end", "s.value")
+    each = each.select("row", "owner", "repository", "s.hash", "s.start", "s.kind", "s.end", "s.size")
     judged = each.join(ownership(each), "hash").withColumn("live", F.col("n_owners") < wide)
     kept = judged.filter((F.col("kind") < len(BASE)) | F.col("live"))
     span = F.struct("start", "kind", "end", "live", "n_owners", "n_repositories")
-    by_row = kept.groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("spans"), F.collect_set(F.when(F.col("live"), F.col("value"))).alias("values"))
-    longest = F.transform(F.sort_array(F.transform("values", lambda v: F.struct(F.char_length(v).alias("n"), v.alias("v"))), False), lambda x: x["v"])
-    return found.join(by_row, "row", "left").select("doc", "spans", longest.alias("values"))
+    place = F.struct((F.col("end") - F.col("size")).alias("at"), F.col("end").alias("to"))
+    by_row = kept.groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("spans"), F.sort_array(F.collect_list(F.when(F.col("live"), place))).alias("cuts"))
+    return found.join(by_row, "row", "left").select("doc", "spans", "cuts")
 
 
 def joined(found):
@@ -99,11 +101,30 @@ def report(docs: DataFrame, **options) -> DataFrame:
     )
 
 
+def merged(cuts):
+    """Sorted places, overlapping ones as one."""
+
+    def step(out, c):
+        last = F.try_element_at(out, F.lit(-1))
+        longer = F.struct(last["at"].alias("at"), F.greatest(last["to"], c["to"]).alias("to"))
+        joined_ = F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(longer))
+        return F.when(last["to"] > c["at"], joined_).otherwise(F.concat(out, F.array(c))).cast(CUTS)
+
+    return F.aggregate(cuts, F.array().cast(CUTS), step)
+
+
 def redact(docs: DataFrame, mark="<secret>", **options) -> DataFrame:
-    """The rows, all columns, with every value that looks live replaced, and n_chars (if there) counted anew."""
+    """The rows, all columns, with every value that looks live replaced where it was found, and n_chars (if there) counted
+    anew. Values that overlap are replaced by one mark; the text between is never searched, so nothing else changes."""
     found = scan(docs, **options)
-    clean = F.aggregate(F.col("values"), F.col("doc.text"), lambda text, v: F.replace(text, v, F.lit(mark)))
-    text = F.when(F.size("values") > 0, clean).otherwise(F.col("doc.text"))
-    parted = pin(found.select("doc", "values"), fresh=text)
-    new = {"text": F.col("fresh"), "n_chars": F.when(F.size("values") > 0, F.char_length("fresh").cast("bigint")).otherwise(F.col("doc.n_chars")) if "n_chars" in docs.columns else None}
+    whole = pin(found.select("doc", F.coalesce("cuts", F.array().cast(CUTS)).alias("cuts")), places=merged(F.col("cuts")))
+
+    def piece(c, i):
+        before = F.coalesce(F.get(F.col("places"), i - 1)["to"], F.lit(0))
+        return F.concat(F.substr("doc.text", (before + 1).cast("int"), (c["at"] - before).cast("int")), F.lit(mark))
+
+    rest = F.substr("doc.text", (F.try_element_at("places", F.lit(-1))["to"] + 1).cast("int"))
+    clean = F.concat(F.array_join(F.transform("places", piece), ""), rest)
+    parted = pin(whole, fresh=F.when(F.size("places") > 0, clean).otherwise(F.col("doc.text")))
+    new = {"text": F.col("fresh"), "n_chars": F.when(F.size("places") > 0, F.char_length("fresh").cast("bigint")).otherwise(F.col("doc.n_chars")) if "n_chars" in docs.columns else None}
     return parted.select(*[new[c].alias(c) if new.get(c) is not None else F.col("doc")[c].alias(c) for c in docs.columns])
