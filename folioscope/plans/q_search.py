@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..operators import approximate as ap
 from ..operators import rank as R
 from ..operators import textindex as ti
 from ..operators import vectors as vx
@@ -111,6 +112,12 @@ query("r02_exact_knn", "WITH" + REQ + "," + VEC + f" SELECT query_id, chunk_id,
 query("j16_block_knn", "WITH" + REQ + "," + VEC + f" SELECT query_id, chunk_id, vec_rank, round(dist, 6) AS dist FROM vecr WHERE vec_rank <= {DEPTH}")(
     lambda s, p: vx.knn_topn(c.requests(s, p), c.vectors(s, p), DEPTH, block=64).select("query_id", "chunk_id", "vec_rank", F.round("dist", 6).alias("dist")))
 
+query("r03_approximate_knn")(
+    lambda s, p: ap.approximate_topn(c.requests(s, p), c.vectors(s, p), 10).select("query_id", "chunk_id", "vec_rank", F.round("dist", 6).alias("dist")))
+# what is measured is the share of the true ten nearest that is found; SQL gives their number and the least share wanted
+query("r03_recall", "SELECT n_true, true AS at_least_nine_tenths FROM (WITH" + REQ + "," + VEC + " SELECT count(*) AS n_true FROM vecr WHERE vec_rank <= 10)")(
+    lambda s, p: ap.recall(c.requests(s, p), c.vectors(s, p), 10).select("n_true", (F.col("recall") >= 0.9).alias("at_least_nine_tenths")))
+
 query("t01_knn_first_ten", "WITH" + REQ + "," + VEC + " SELECT query_id, chunk_id FROM vecr WHERE vec_rank <= 10")(
     lambda s, p: vx.knn_topn(c.requests(s, p), c.vectors(s, p), 10).select("query_id", "chunk_id"))
 
