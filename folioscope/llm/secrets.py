@@ -7,15 +7,16 @@ of fewer is specific to its owners and looks live. Base spans always stay; token
 
 DataFrame functions only. Positions are code points, end exclusive, from the lengths of the pieces between matches.
 Candidates are few, leave the texts behind in a written table and are counted and joined by hash; of a value only its hash,
-place and length are written or shuffled. Spans of one text are gathered in its row, so a text of very many matches costs
-more than in proportion to them. Owners are counted by partial aggregation, and the join is left to skew handling.
+place and length are written or shuffled. Places, overlaps and cuts are running sums and extremes over the matches of a
+text, so a very long text or one of very many matches costs in proportion (and a sort). The spans of one text are gathered
+in its row. Owners are counted by partial aggregation, and the join is left to skew handling.
 
 Null texts are empty and hold no spans. A null owner or repository counts as one named by the empty text. Repeated rows
 are returned once each and add no owner. Columns named like the result's are kept inside `doc` and cannot clash. An empty
 table gives an empty result.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import pin
@@ -30,55 +31,74 @@ BASE = {
 TOKEN = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{20,}"
 KINDS = [*BASE, "owned"]
 WIDE = 3
-SPAN = "array<struct<start:bigint,kind:int,end:bigint,hash:string,size:int>>"
+MATCH = "array<struct<kind:int,nth:int,gap:int,size:int,hash:string,held:int>>"
+SPANS = "array<struct<start:bigint,kind:int,end:bigint,live:boolean,n_owners:bigint,n_repositories:bigint>>"
 CUTS = "array<struct<at:bigint,to:bigint>>"
+BLOCK = 512  # code points of a block that redaction copies from
 
 
-def spans(text, kind):
-    """Leftmost non-overlapping matches in order, each with its place, and its value's hash and length (a value ends where its match ends)."""
-    pattern, group, least = BASE.get(kind, (TOKEN, 0, 20))
+def matches(text, kind):
+    """Leftmost non-overlapping matches in order: characters since the one before, own length, and its value's hash and
+    length (a value ends where its match ends)."""
+    pattern, group, _ = BASE.get(kind, (TOKEN, 0, 20))
     found = F.arrays_zip(
         F.transform(F.split(text, pattern, -1), F.char_length).alias("gap"),
         F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.char_length).alias("size"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"),
     )
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("spans"))
 
-    def step(acc, m):
-        start = acc["at"] + m["gap"]
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (start + m["size"]).alias("end"), F.sha2(m["value"], 256).alias("hash"), F.char_length(m["value"]).alias("size"))
-        return F.struct((start + F.coalesce(m["size"], F.lit(0))).cast("bigint").alias("at"), F.concat(acc["spans"], F.array(span)).cast(SPAN).alias("spans"))
+    def match(m, i):
+        value = m["value"]
+        return F.struct(F.lit(KINDS.index(kind)).alias("kind"), i.alias("nth"), m["gap"].alias("gap"), m["size"].alias("size"), F.sha2(value, 256).alias("hash"), F.char_length(value).alias("held"))
 
-    matched = F.filter(F.aggregate(found, zero, step)["spans"], lambda s: s["size"] >= least)
-    return F.when(text.rlike(pattern), matched).otherwise(F.array().cast(SPAN))
+    each = F.transform(F.filter(found, lambda m: m["size"].isNotNull()), match)
+    return F.when(text.rlike(pattern), each.cast(MATCH)).otherwise(F.array().cast(MATCH))
 
 
 def marked(docs: DataFrame, text, owner, repository, keep) -> DataFrame:
-    """Written table: row, doc (the columns `keep`), owner, repository, base spans, token spans that overlap no base span."""
+    """Written table: row, doc (the columns `keep`), owner, repository, matches of every kind."""
     whole = docs.select(F.struct(*keep).alias("doc"), blank(text).alias("body"), blank(owner).alias("owner"), blank(repository).alias("repository"))
-    kinds = pin(whole, **{k: spans(F.col("body"), k) for k in KINDS})
-    based = pin(kinds, base=F.sort_array(F.concat(*BASE)))
-    free = F.filter("owned", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    found = pin(based, tokens=F.when(F.size("owned") > 0, free).otherwise(F.col("owned")))
-    return stored(found.select(F.monotonically_increasing_id().alias("row"), "doc", "owner", "repository", "base", "tokens"), "secrets")
+    kinds = pin(whole, **{k: matches(F.col("body"), k) for k in KINDS})
+    return stored(kinds.select(F.monotonically_increasing_id().alias("row"), "doc", "owner", "repository", F.concat(*KINDS).alias("matches")), "secrets")
+
+
+def candidates(found: DataFrame) -> DataFrame:
+    """Written table: row, owner, repository, kind, hash, held, start, end of base spans and of tokens that overlap none.
+
+    Places are running sums of a kind's lengths in a text. A token is clear if no base span that starts up to its own
+    start ends beyond it, and none that starts later does so before its end: two running extremes."""
+    each = found.select("row", "owner", "repository", F.explode("matches").alias("m")).select("row", "owner", "repository", "m.*").repartition("row")
+    first = Window.unboundedPreceding
+    to_here = Window.partitionBy("row", "kind").orderBy("nth").rowsBetween(first, 0)
+    placed = each.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(to_here)).withColumn("start", F.col("end") - F.col("size"))
+    least = F.array(*[F.lit(BASE[k][2] if k in BASE else 0) for k in KINDS])
+    long = placed.filter(F.col("held") >= least[F.col("kind")])
+    base = F.col("kind") < len(BASE)
+    earlier = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(first, 0)
+    later = Window.partitionBy("row").orderBy(F.desc("start"), "kind").rowsBetween(first, 0)
+    reach = long.withColumns({"reached": F.max(F.when(base, F.col("end"))).over(earlier), "next": F.min(F.when(base, F.col("start"))).over(later)})
+    clear = (F.coalesce("reached", F.lit(0)) <= F.col("start")) & (F.coalesce("next", "end") >= F.col("end"))
+    return stored(reach.filter(base | clear).select("row", "owner", "repository", "kind", "hash", "held", "start", "end"), "secret-places")
+
+
+def ownership(each: DataFrame) -> DataFrame:
+    """Distinct owners and repositories of every candidate hash, over the whole corpus."""
+    return each.groupBy("hash").agg(F.countDistinct("owner").alias("n_owners"), F.countDistinct("owner", "repository").alias("n_repositories"))
 
 
-def ownership(candidates: DataFrame) -> DataFrame:
-    """Distinct owners and repositories of every candidate hash, over the whole corpus."""
-    return candidates.groupBy("hash").agg(F.countDistinct("owner").alias("n_owners"), F.countDistinct("owner", "repository").alias("n_repositories"))
+def judged(found: DataFrame, wide) -> DataFrame:
+    """All base spans and the tokens that look live: row, kind, held, start, end, n_owners, n_repositories, live."""
+    each = candidates(found)
+    counted = each.join(ownership(each), "hash").withColumn("live", F.col("n_owners") < wide)
+    return counted.filter((F.col("kind") < len(BASE)) | F.col("live"))
 
 
 def scan(docs: DataFrame, text="text", owner="source", repository="lang", wide=WIDE, keep=("*",)) -> DataFrame:
-    """doc (the columns `keep`), spans: array of (start, kind, end, live, n_owners, n_repositories), cuts: places of the live values."""
+    """doc (the columns `keep`), spans: array of (start, kind, end, live, n_owners, n_repositories)."""
     found = marked(docs, text, owner, repository, keep)
-    each = found.select("row", "owner", "repository", F.explode(F.concat("base", "tokens")).alias("s"))
-    each = each.select("row", "owner", "repository", "s.hash", "s.start", "s.kind", "s.end", "s.size")
-    judged = each.join(ownership(each), "hash").withColumn("live", F.col("n_owners") < wide)
-    kept = judged.filter((F.col("kind") < len(BASE)) | F.col("live"))
     span = F.struct("start", "kind", "end", "live", "n_owners", "n_repositories")
-    place = F.struct((F.col("end") - F.col("size")).alias("at"), F.col("end").alias("to"))
-    by_row = kept.groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("spans"), F.sort_array(F.collect_list(F.when(F.col("live"), place))).alias("cuts"))
-    return found.join(by_row, "row", "left").select("doc", "spans", "cuts")
+    by_row = judged(found, wide).groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    return found.join(by_row, "row", "left").select("doc", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def joined(found):
@@ -89,9 +109,8 @@ def joined(found):
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """Per row: counts and digest of the base spans, all spans as text, and how many values look live or copied."""
-    none = "array<struct<start:bigint,kind:int,end:bigint,live:boolean,n_owners:bigint,n_repositories:bigint>>"
     found = scan(docs, keep=["doc_id"], **options)
-    spans_ = pin(found.select("doc.doc_id", F.coalesce("spans", F.array().cast(none)).alias("all_spans")), base=F.filter("all_spans", lambda s: s["kind"] < len(BASE)))
+    spans_ = pin(found.select("doc.doc_id", F.col("spans").alias("all_spans")), base=F.filter("all_spans", lambda s: s["kind"] < len(BASE)))
     kinds = F.transform("base", lambda s: s["kind"])
     count = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(BASE)]
     live = F.size(F.filter("all_spans", lambda s: s["live"])).cast("long")
@@ -101,30 +120,42 @@ def report(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-def merged(cuts):
-    """Sorted places, overlapping ones as one."""
+def cuts(spans: DataFrame) -> DataFrame:
+    """row, cuts: places of the values that look live, in order, overlapping ones as one."""
+    live = spans.filter("live").select("row", (F.col("end") - F.col("held")).alias("at"), F.col("end").alias("to"))
+    in_order = Window.partitionBy("row").orderBy("at", "to")
+    first = Window.unboundedPreceding
+    fresh = F.coalesce(F.max("to").over(in_order.rowsBetween(first, -1)) <= F.col("at"), F.lit(True))
+    runs = live.withColumn("fresh", fresh.cast("int")).withColumn("run", F.sum("fresh").over(in_order.rowsBetween(first, 0)))
+    whole = runs.groupBy("row", "run").agg(F.min("at").alias("at"), F.max("to").alias("to"))
+    return whole.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "to"))).alias("cuts"))
+
+
+def between(blocks, a, b):
+    """The code points from a up to b, copied from blocks of BLOCK: the cost follows the length, not the place."""
 
-    def step(out, c):
-        last = F.try_element_at(out, F.lit(-1))
-        longer = F.struct(last["at"].alias("at"), F.greatest(last["to"], c["to"]).alias("to"))
-        joined_ = F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(longer))
-        return F.when(last["to"] > c["at"], joined_).otherwise(F.concat(out, F.array(c))).cast(CUTS)
+    def part(k):
+        left = F.greatest(a - k * BLOCK, F.lit(0))
+        right = F.least(b - k * BLOCK, F.lit(BLOCK))
+        return F.substr(F.get(blocks, k), (left + 1).cast("int"), (right - left).cast("int"))
 
-    return F.aggregate(cuts, F.array().cast(CUTS), step)
+    block = [F.floor(x / BLOCK).cast("int") for x in (a, b - 1)]
+    return F.when(b > a, F.array_join(F.transform(F.sequence(*block), part), "")).otherwise("")
 
 
-def redact(docs: DataFrame, mark="<secret>", **options) -> DataFrame:
+def redact(docs: DataFrame, mark="<secret>", text="text", owner="source", repository="lang", wide=WIDE) -> DataFrame:
     """The rows, all columns, with every value that looks live replaced where it was found, and n_chars (if there) counted
     anew. Values that overlap are replaced by one mark; the text between is never searched, so nothing else changes."""
-    found = scan(docs, **options)
-    whole = pin(found.select("doc", F.coalesce("cuts", F.array().cast(CUTS)).alias("cuts")), places=merged(F.col("cuts")))
+    found = marked(docs, text, owner, repository, ["*"])
+    body = F.col("doc")[text]
+    whole = found.join(cuts(judged(found, wide)), "row", "left").select("doc", F.coalesce("cuts", F.array().cast(CUTS)).alias("places"))
+    has = F.size("places") > 0
+    whole = pin(whole, blocks=F.when(has, F.regexp_extract_all(body, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))))
 
     def piece(c, i):
-        before = F.coalesce(F.get(F.col("places"), i - 1)["to"], F.lit(0))
-        return F.concat(F.substr("doc.text", (before + 1).cast("int"), (c["at"] - before).cast("int")), F.lit(mark))
+        return F.concat(between(F.col("blocks"), F.coalesce(F.get(F.col("places"), i - 1)["to"], F.lit(0)), c["at"]), F.lit(mark))
 
-    rest = F.substr("doc.text", (F.try_element_at("places", F.lit(-1))["to"] + 1).cast("int"))
-    clean = F.concat(F.array_join(F.transform("places", piece), ""), rest)
-    parted = pin(whole, fresh=F.when(F.size("places") > 0, clean).otherwise(F.col("doc.text")))
-    new = {"text": F.col("fresh"), "n_chars": F.when(F.size("places") > 0, F.char_length("fresh").cast("bigint")).otherwise(F.col("doc.n_chars")) if "n_chars" in docs.columns else None}
+    rest = between(F.col("blocks"), F.try_element_at("places", F.lit(-1))["to"], F.char_length(body))
+    parted = pin(whole, fresh=F.when(has, F.concat(F.array_join(F.transform("places", piece), ""), rest)).otherwise(body))
+    new = {text: F.col("fresh"), "n_chars": F.when(has, F.char_length("fresh").cast("bigint")).otherwise(F.col("doc")["n_chars"]) if "n_chars" in docs.columns else None}
     return parted.select(*[new[c].alias(c) if new.get(c) is not None else F.col("doc")[c].alias(c) for c in docs.columns])

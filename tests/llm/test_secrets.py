@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from folioscope.llm import secrets
 
@@ -83,6 +84,26 @@ def test_redaction_by_place_by_brute_force(spark):
     assert got[0] == "my secret = <secret> and the secret plan; password=<secret>"
 
 
+def test_a_text_of_very_many_matches_costs_in_proportion(spark):
+    n = 200_000
+    text = "\U0001F600 token=abcdef01 " * n
+    docs = documents(spark, [doc(1, text), doc(2, "token=abcdef02, é " * 3)])
+    before = time.monotonic()
+    got = {r["doc_id"]: r for r in secrets.report(docs).collect()}
+    assert got[1]["n_assign"] == n and got[1]["base_sha256"] == hashlib.sha256(plain(text)[0].encode()).hexdigest()
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert clean == {1: text.replace("abcdef01", "<secret>"), 2: "token=<secret>, é " * 3}
+    assert time.monotonic() - before < 60
+
+
+def test_cuts_across_blocks(spark):
+    texts = [f"{'é' * k}token={'a1b2' * 400} {'x' * k}" for k in (0, 1, secrets.BLOCK - 7, secrets.BLOCK - 6, secrets.BLOCK, 3 * secrets.BLOCK + 1)]
+    texts += [f"{'\U0001F600' * k} secret=abcdef\n\r\n{'y' * k}" for k in (secrets.BLOCK - 8, 2 * secrets.BLOCK - 14, 2 * secrets.BLOCK)]
+    rows = [doc(i, t, source=f"s{i % 2}") for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(documents(spark, rows)).collect()}
+    assert got == {i: plain_redaction(t, "<secret>") for i, t in enumerate(texts)}
+
+
 def test_empty_table_and_no_python(spark):
     empty = spark.createDataFrame([], DOCS)
     report = secrets.report(empty)
