@@ -243,18 +243,40 @@ def test_components_of_a_long_chain(spark):
 
 # ---- limiter ----------------------------------------------------------------
 
-def test_limiter_by_brute_force(spark):
-    rng = np.random.default_rng(5)
-    ev = [(i, int(k), int(at)) for i, (k, at) in enumerate(zip(rng.choice([1, 1, 1, 2, 3], 600), np.sort(rng.integers(0, 4_000_000_000, 600))))]
-    passed, want = defaultdict(list), []
-    for i, k, at in sorted(ev, key=lambda z: (z[1], z[2], z[0])):
-        passed[k] = [p for p in passed[k] if at - p <= 60_000_000]
-        ok = len(passed[k]) < 3
-        if ok:
+def passes(events, limit, seconds):
+    passed, out = defaultdict(list), []
+    for i, k, at in sorted(events, key=lambda z: (z[1], z[2], z[0])):
+        passed[k] = [p for p in passed[k] if at - p <= seconds * 1_000_000]
+        out.append((i, len(passed[k]) < limit))
+        if out[-1][1]:
             passed[k].append(at)
-        want.append((i, ok))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed, limit", [(5, 3), (6, 1), (7, 6), (8, 0)])
+def test_limiter_by_brute_force(spark, seed, limit):
+    rng = np.random.default_rng(seed)
+    # whole seconds, so that requests meet on one time and on the window's edge; both sides of a bucket's end
+    ev = [(i, int(k), int(at) * 1_000_000) for i, (k, at) in enumerate(zip(rng.choice([1, 1, 1, 2, 3], 900), rng.integers(-4_000, 5_000, 900)))]
+    df = spark.createDataFrame(ev, "event_id long, key long, at long")
+    got = rows(lim.limit_requests(df, limit, 60))
+    assert got == passes(ev, limit, 60)
+    counted = {i: sum(k2 == k and at - 60_000_000 <= at2 <= at for _, k2, at2 in ev) for i, k, at in ev}
+    assert dict(rows(lim.request_window(df, 60).select("event_id", "recent"))) == counted
+
+
+def test_limiter_deals_a_key_without_a_pause_to_several_tasks(spark):
+    """One key, a request every ten seconds for hours, and a burst now and then: no pause is as long as the window."""
+    at = [10 * n for n in range(6_000)] + [10_000 * b + n for b in range(1, 6) for n in range(0, 200, 2)]
+    ev = [(i, 1, t * 1_000_000) for i, t in enumerate(at)]
     df = spark.createDataFrame(ev, "event_id long, key long, at long")
-    assert rows(lim.limit_requests(df, 3, 60)) == sorted(want) and not all(ok for _, ok in want)
+    assert lim.quiet_runs(df, 60).select("run").distinct().count() == 1
+    d = lim.overloaded_stretches(df, 10, 60)
+    assert d.filter("run is not null").select("run").distinct().count() == 5
+    assert d.filter("run is null").count() > 5_000 and d.count() == len(ev)
+    tasks = d.filter("run is not null").repartition(4, "key", "run").select(F.spark_partition_id().alias("task")).distinct().count()
+    assert tasks > 1
+    assert rows(lim.limit_requests(df, 10, 60)) == passes(ev, 10, 60)
 
 
 # ---- guidance, import, archive ---------------------------------------------
