@@ -235,6 +235,55 @@ def test_groups_and_leader_clusters(spark):
     assert rows(cl.groups(df)) == expect
 
 
+def clustered(seed, n, centres, dim=12, noise=0.08):
+    """Vectors around far centres, exact copies among them, in ids that tell nothing."""
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(centres, dim))
+    vec = {int(k): base[k % centres] + rng.normal(size=dim) * noise * (k % 3) for k in rng.permutation(n * 3)[:n]}
+    some = sorted(vec)[:: max(1, n // 40)]
+    vec.update({100_000 + k: vec[k] for k in some})
+    return vec
+
+
+@pytest.mark.parametrize("seed, centres, noise, threshold", [(1, 9, 0.08, 0.92), (2, 3, 0.3, 0.92), (3, 40, 0.2, 0.8), (4, 1, 0.5, 0.99)])
+def test_cells_lose_no_pair_and_meet_once(spark, seed, centres, noise, threshold):
+    vec = clustered(seed, 240, centres, noise=noise)
+    ids = sorted(vec)
+    unit = {k: vec[k] / np.linalg.norm(vec[k]) for k in ids}
+    near = defaultdict(dict)
+    for p, q in itertools.combinations(ids, 2):
+        c = round(float(unit[p] @ unit[q]), 9)
+        if c >= threshold:
+            near[p][q] = near[q][p] = c
+    odd = [(-1, [0.0] * 12), (-2, None), (-3, [float("nan")] * 12)]
+    df = spark.createDataFrame([(k, [float(z) for z in vec[k]]) for k in ids] + odd, "chunk_id long, embedding array<double>")
+    want = [(k, len(v), min(v), round(max(v.values()), 6)) for k, v in sorted(near.items())]
+    for options in ({}, {"block": 16}, {"block": 50, "pivots": 11}):
+        got = cl.partners(df, threshold, **options).select("chunk_id", "n_partners", "first_partner", "best_cos")
+        assert [(*r[:3], round(r[3], 6)) for r in rows(got)] == want
+    files = {k: f"f{k % 4}" if k < 100_000 else "copies" for k in ids}
+    joined = df.join(spark.createDataFrame(list(files.items()), "chunk_id long, rel_path string"), "chunk_id")
+    merge = []
+    for k in ids:
+        others = {q: c for q, c in near[k].items() if files[q] != files[k]}
+        if others:
+            top = max(others.values())
+            merge.append((k, min(q for q, c in others.items() if c == top), round(top, 6), len(others)))
+    for options in ({}, {"block": 16, "pivots": 7}):
+        got = cl.merge_candidates(joined, threshold, **options).select("chunk_id", "merge_with", "cosine", "n_partners")
+        assert [(*r[:2], round(r[2], 6), r[3]) for r in rows(got)] == merge
+
+
+def test_far_cells_never_meet(spark):
+    vec = clustered(1, 600, 12, noise=0.05)
+    df = spark.createDataFrame([(k, [float(z) for z in v]) for k, v in vec.items()], "chunk_id long, embedding array<double>")
+    m = cl.meetings(df, 0.92, block=50, pivots=12).first()
+    assert m.n_pairs == len(vec) * (len(vec) - 1) / 2 and m.skipped > 0.8 and m.skipped == 1 - m.n_met / m.n_pairs
+    assert cl.meetings(df, 0.92, block=50, pivots=1).first().skipped == 0
+    assert tuple(cl.meetings(df.limit(0)).first()) == (0.0, 0.0, 0.0)
+    assert cl.partners(df.limit(0)).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = dict(rows(cl.components(e)))
