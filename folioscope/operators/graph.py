@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank
 from ..params import DEFAULTS
-from ..session import cut
+from ..session import cut, new_folder, written
 
 UNSOUND = ("draft", "retracted")
 SHOWN = 5  # examples in the text of a check; `gate_details` has all of them
@@ -34,30 +34,48 @@ def resolve_evidence(evidence: DataFrame, docs: DataFrame, beliefs: DataFrame) -
     )
 
 
-def reach(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """(start, node, dist) for every start: breadth first over sound beliefs, all starts at once. Each level joins the
-    frontier with the edges and drops nodes already seen, and is written to the shared folder."""
-    steps = cut(edges.filter("target = 'belief'").select(F.col("belief_id").alias("node"), F.col("slug").alias("next")).distinct())
-    level = cut(starts.select(F.col("belief_id").alias("start"), F.col("belief_id").alias("node")))
-    levels, dist = [level.withColumn("dist", F.lit(0))], 0
-    seen = level
-    while True:
-        dist += 1
-        nxt = (
-            level.join(steps, "node").select("start", F.col("next").alias("node")).distinct()
-            .join(seen, ["start", "node"], "left_anti")
-        )
-        level = cut(nxt)
-        if level.isEmpty():
-            break
-        levels.append(level.withColumn("dist", F.lit(dist)))
-        seen = seen.unionByName(level)
-    out = levels[0]
-    for part in levels[1:]:
-        out = out.unionByName(part)
+HOPS = 8  # hops of one round; a power of two
+
+
+def jumps(steps: DataFrame, hops: int) -> DataFrame:
+    """(node, next, by): every belief within `hops` steps of a node and the least number of steps, by doubling."""
+    out, reached = steps.withColumn("by", F.lit(1)), 1
+    while reached < hops:
+        on = out.select(F.col("node").alias("next"), F.col("next").alias("_next"), F.col("by").alias("_by"))
+        # a way of 2n steps is one of exactly n steps and one of up to n
+        twice = out.filter(F.col("by") == reached).join(on, "next").select("node", F.col("_next").alias("next"), (F.col("by") + F.col("_by")).alias("by"))
+        out = written(out.unionByName(twice).groupBy("node", "next").agg(F.min("by").alias("by")), "jumps")
+        reached *= 2
     return out
 
 
+def reach(edges: DataFrame, starts: DataFrame, hops: int = HOPS) -> DataFrame:
+    """(start, node, dist) for every start: breadth first over sound beliefs, all starts at once.
+
+    A round jumps up to `hops` steps from the nodes of the last level, keeps the least distance of each (start, node),
+    drops what earlier rounds found and writes the rest to the shared folder; the nodes farthest out begin the next
+    round. The shortest way to a node passes through the last level, so the distances are right. All rounds are read back
+    as one table, however many there were. The table of jumps covers all beliefs: for a few starts, `hops` of 1 does less."""
+    steps = written(edges.filter("target = 'belief'").select(F.col("belief_id").alias("node"), F.col("slug").alias("next")).distinct(), "steps")
+    spark, folder = edges.sparkSession, new_folder(edges.sparkSession, "reach")
+    jump = jumps(steps, hops)
+    first = starts.select(F.col("belief_id").alias("start"), F.col("belief_id").alias("node")).distinct().withColumn("dist", F.lit(0))
+    paths, far = [f"{folder}/0"], 0
+    first.write.parquet(paths[0])
+
+    def read(*some):
+        return spark.read.schema(first.schema).parquet(*some)
+
+    while True:
+        last = read(paths[-1]).filter(F.col("dist") == far).select("start", "node")
+        found = last.join(jump, "node").groupBy("start", F.col("next").alias("node")).agg((F.min("by") + far).alias("dist"))
+        paths.append(f"{folder}/{len(paths)}")
+        found.join(read(*paths[:-1]), ["start", "node"], "left_anti").write.parquet(paths[-1])
+        far += hops
+        if read(paths[-1]).filter(F.col("dist") == far).isEmpty():
+            return read(*paths)
+
+
 def arrivals(edges: DataFrame, reached: DataFrame) -> DataFrame:
     """Every evidence edge of every reached node, per start."""
     return reached.withColumnRenamed("node", "belief_id").join(edges, "belief_id")

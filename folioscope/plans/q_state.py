@@ -197,7 +197,7 @@ edges AS (SELECT e.belief_id, e.ref, e.slug, b.state, CASE WHEN kind = 'external
     CASE WHEN kind = 'link' AND b.state IS NULL AND d.k % 3 = 0 THEN 'p' || (d.k % 4) ELSE '' END AS author
   FROM belief_evidence e LEFT JOIN beliefs b ON b.belief_id = e.slug LEFT JOIN docs d ON d.slug = e.slug AND e.slug <> ''),
 reach(start, node) AS (SELECT belief_id, belief_id FROM beliefs UNION SELECT r.start, e.slug FROM reach r JOIN edges e ON e.belief_id = r.node WHERE e.target = 'belief'),
-hop(node, dd) AS (SELECT DISTINCT belief_id, 1 FROM edges WHERE target IN ('attested', 'observation') UNION SELECT e.belief_id, h.dd + 1 FROM hop h JOIN edges e ON e.slug = h.node AND e.target = 'belief' WHERE h.dd < 60),
+hop(node, dd) AS (SELECT DISTINCT belief_id, 1 FROM edges WHERE target IN ('attested', 'observation') UNION SELECT e.belief_id, h.dd + 1 FROM hop h JOIN edges e ON e.slug = h.node AND e.target = 'belief' WHERE h.dd < 300),
 arr AS (SELECT r.start AS belief_id, e.target, CASE WHEN e.target IN ('attested', 'unattested', 'unresolved') THEN e.ref ELSE e.slug END AS item, e.author, e.state FROM reach r JOIN edges e ON e.belief_id = r.node),
 per AS (SELECT belief_id, target, item, count(*) AS times, max(author) AS author, max(state) AS state FROM arr GROUP BY ALL),
 summary AS (SELECT b.belief_id, CASE WHEN confidence = 'high' OR impact = 'action' THEN 2 ELSE 1 END AS need, min(h.dd) AS depth,
@@ -255,7 +255,7 @@ _q("g03_promote", GRAPH_VIEWS, """SELECT belief_id, CASE WHEN state = 'draft' AN
    FROM beliefs JOIN (SELECT belief_id, bool_and(passed) AS ok FROM codes GROUP BY ALL) USING (belief_id)""",
    lambda s, p: (lambda drafts: g.promote(src.beliefs(s, p), _gate(s, p, drafts), drafts, src.TODAY))(src.beliefs(s, p).filter("state = 'draft'")).select("belief_id", "state", "promoted_at"), _GATE)
 _CASC = """
-casc(belief_id, hops) AS (SELECT belief_id, 0 FROM beliefs WHERE state = 'needs_review' UNION SELECT e.belief_id, c.hops + 1 FROM casc c JOIN belief_evidence e ON e.kind = 'link' AND e.slug = c.belief_id JOIN beliefs b ON b.belief_id = e.belief_id AND b.state = 'promoted' WHERE c.hops < 60),
+casc(belief_id, hops) AS (SELECT belief_id, 0 FROM beliefs WHERE state = 'needs_review' UNION SELECT e.belief_id, c.hops + 1 FROM casc c JOIN belief_evidence e ON e.kind = 'link' AND e.slug = c.belief_id JOIN beliefs b ON b.belief_id = e.belief_id AND b.state = 'promoted' WHERE c.hops < 300),
 targets AS (SELECT belief_id, min(hops) AS hops FROM casc WHERE hops > 0 GROUP BY ALL)"""
 _q("g04_retraction_cascade", GRAPH_VIEWS, "SELECT belief_id, hops FROM targets",
    lambda s, p: g.cascade(src.beliefs(s, p), src.belief_evidence(s, p), src.beliefs(s, p).filter("state = 'needs_review'")), _CASC)

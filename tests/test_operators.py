@@ -135,6 +135,38 @@ def test_gate_defects(spark):
     assert got["z"]["G2"][0] is False and got["z"]["G5"][0] is True and got["z"]["G6"] == (False, "missing: claim")
 
 
+def distances(steps, starts):
+    after, out = defaultdict(set), []
+    for a, b in steps:
+        after[a].add(b)
+    for start in starts:
+        seen, level, n = {start: 0}, [start], 0
+        while level:
+            n += 1
+            level = [y for y in {y for x in level for y in after[x]} if y not in seen]
+            seen.update(dict.fromkeys(level, n))
+        out += [(start, node, dist) for node, dist in seen.items()]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed, nodes, steps", [(1, 40, 60), (2, 30, 150), (3, 60, 50), (4, 5, 0)])
+def test_distances_do_not_depend_on_the_hops_of_a_round(spark, seed, nodes, steps):
+    rng = np.random.default_rng(seed)
+    pairs = [(f"b{a}", f"b{b}") for a, b in rng.integers(0, nodes, (steps, 2))]
+    starts = [f"b{n}" for n in range(0, nodes, 1 + seed % 2)]
+    e = spark.createDataFrame([(a, b, "belief") for a, b in pairs] + [("b0", "note", "observation")], "belief_id string, slug string, target string")
+    st = spark.createDataFrame([(x,) for x in starts * 2], "belief_id string")
+    for hops in (1, 2, 8):
+        assert rows(g.reach(e, st, hops)) == distances(pairs, starts)
+
+
+def test_a_chain_of_a_hundred_hops_with_a_way_back(spark):
+    pairs = [(f"b{n}", f"b{n + 1}") for n in range(100)] + [("b100", "b40"), ("b3", "b20")]
+    e = spark.createDataFrame([(a, b, "belief") for a, b in pairs], "belief_id string, slug string, target string")
+    st = spark.createDataFrame([("b0",), ("b50",)], "belief_id string")
+    assert rows(g.reach(e, st)) == distances(pairs, ["b0", "b50"])
+
+
 # ---- chunking ---------------------------------------------------------------
 
 def test_split_tables_keep_their_header():
