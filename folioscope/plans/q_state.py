@@ -8,7 +8,7 @@ from ..functions import text as t
 from ..operators import graph as g
 from ..operators import incremental as inc
 from ..operators import vectors as vx
-from ..session import cut
+from ..session import cut, written
 from ..sources import corpus as c
 from ..sources import notes as src
 from .catalog import query, table
@@ -213,8 +213,9 @@ def _doc_authors(s, p):
     return src.docs(s, p).select("slug", F.when(k % 3 == 0, F.concat(F.lit("p"), (k % 4).cast("string"))).otherwise(F.lit("")).alias("author"))
 
 
-def _edges(s, p):
-    return cut(g.resolve_evidence(src.belief_evidence(s, p), _doc_authors(s, p), src.beliefs(s, p)))
+def _edges(s, p, evidence=None, beliefs=None):
+    evidence, beliefs = (src.belief_evidence(s, p) if evidence is None else evidence), (src.beliefs(s, p) if beliefs is None else beliefs)
+    return cut(g.resolve_evidence(evidence, _doc_authors(s, p), beliefs))
 
 
 _q("j13_resolve_evidence", GRAPH_VIEWS, "SELECT belief_id, ref, target FROM edges",
@@ -239,8 +240,10 @@ codes AS (SELECT belief_id, 'G' || i AS code, coalesce(ok[i], false) AS passed F
   UNION ALL SELECT belief_id, 'G7a', countersigned_by <> '' AND countersigned_by <> persona FROM checks WHERE impact = 'action')"""
 
 
-def _gate(s, p, asked=None):
-    return g.gate(src.beliefs(s, p), src.belief_evidence(s, p), _edges(s, p), src.supersessions(src.notes(s, p)), src.TODAY, asked=asked)
+def _gate(s, p, some="true"):
+    """The gate over derived tables that are written once, as a job would find them."""
+    b, e = written(src.beliefs(s, p), "beliefs"), written(src.belief_evidence(s, p), "evidence")
+    return g.gate(b, e, _edges(s, p, e, b), written(src.supersessions(src.notes(s, p)), "supersessions"), src.TODAY, asked=b.filter(some))
 
 
 _q("g02_gate_details", GRAPH_VIEWS, """SELECT belief_id, CASE WHEN target IN ('unresolved', 'unattested') THEN 'G1' ELSE 'G2' END AS code, CASE WHEN target = 'unsound' THEN item || ' (' || state || ')' ELSE item END AS item FROM per
@@ -253,7 +256,7 @@ _q("g02_gate_details", GRAPH_VIEWS, """SELECT belief_id, CASE WHEN target IN ('u
 _q("g02_promotion_gate", GRAPH_VIEWS, "SELECT belief_id, code, passed FROM codes", lambda s, p: _gate(s, p).select("belief_id", "code", "passed"), _GATE)
 _q("g03_promote", GRAPH_VIEWS, """SELECT belief_id, CASE WHEN state = 'draft' AND ok THEN 'promoted' ELSE state END AS state, CASE WHEN state = 'draft' AND ok THEN '2001-08-02' ELSE '' END AS promoted_at
    FROM beliefs JOIN (SELECT belief_id, bool_and(passed) AS ok FROM codes GROUP BY ALL) USING (belief_id)""",
-   lambda s, p: (lambda drafts: g.promote(src.beliefs(s, p), _gate(s, p, drafts), drafts, src.TODAY))(src.beliefs(s, p).filter("state = 'draft'")).select("belief_id", "state", "promoted_at"), _GATE)
+   lambda s, p: (lambda drafts: g.promote(src.beliefs(s, p), _gate(s, p, "state = 'draft'"), drafts, src.TODAY))(src.beliefs(s, p).filter("state = 'draft'")).select("belief_id", "state", "promoted_at"), _GATE)
 _CASC = """
 casc(belief_id, hops) AS (SELECT belief_id, 0 FROM beliefs WHERE state = 'needs_review' UNION SELECT e.belief_id, c.hops + 1 FROM casc c JOIN belief_evidence e ON e.kind = 'link' AND e.slug = c.belief_id JOIN beliefs b ON b.belief_id = e.belief_id AND b.state = 'promoted' WHERE c.hops < 300),
 targets AS (SELECT belief_id, min(hops) AS hops FROM casc WHERE hops > 0 GROUP BY ALL)"""
