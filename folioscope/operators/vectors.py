@@ -80,14 +80,14 @@ def knn_topn(queries: DataFrame, vectors: DataFrame, depth: int, block: int = RE
 # ---- embedding jobs --------------------------------------------------------
 
 def hash_encoder(dim):
-    """Deterministic feature-hash encoder: one signed bucket per token, unit length."""
-    import zlib
+    """Deterministic feature-hash encoder: one signed bucket per token by the first 32 bits of its MD5, unit length."""
+    from hashlib import md5
 
     def encode(texts: pd.Series) -> pd.Series:
         def one(t):
             v = np.zeros(dim)
             for w in t.lower().split():
-                h = zlib.crc32(w.encode())
+                h = int.from_bytes(md5(w.encode(), usedforsecurity=False).digest()[:4])
                 v[h % dim] += 1.0 if (h >> 16) & 1 else -1.0
             n = np.linalg.norm(v)
             return (v / n if n else v).astype(np.float32).tolist()

@@ -47,7 +47,21 @@ def _with(sql, views=()):
 query("g06_near_duplicate_partners", _with("SELECT a AS chunk_id, count(*) AS n_partners, min(b) AS first_partner, round(max(cos), 6) AS best_cos FROM prs GROUP BY a"))(
     lambda s, p: cl.partners(cl.representatives(near_copies(s, p))[0]).withColumn("best_cos", F.round("best_cos", 6)))
 query("g05_near_duplicate_groups", _with("SELECT cluster_id, part, chunk_id FROM cl"))(lambda s, p: cl.groups(near_copies(s, p), max_size=2))
-query("g05_leader_clusters")(lambda s, p: cl.leader_clusters(cl.leader_blocks(near_copies(s, p))))
+_LEADERS = "WITH RECURSIVE" + _V.split(",\nreps AS")[0] + """,
+ordered AS (SELECT chunk_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v, row_number() OVER (ORDER BY chunk_id) AS n
+  FROM vv WHERE list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+pass(n, chunk_id, sums, sizes, names, hit) AS (
+  SELECT n, chunk_id, [v], [1], [chunk_id], 1 FROM ordered WHERE n = 1
+  UNION ALL
+  SELECT n, chunk_id, CASE WHEN hit IS NULL THEN list_append(sums, v) ELSE list_concat(sums[:hit - 1], [list_transform(list_zip(sums[hit], v), lambda z: z[1] + z[2])], sums[hit + 1:]) END,
+    CASE WHEN hit IS NULL THEN list_append(sizes, 1) ELSE list_concat(sizes[:hit - 1], [sizes[hit] + 1], sizes[hit + 1:]) END,
+    CASE WHEN hit IS NULL THEN list_append(names, chunk_id) ELSE names END, coalesce(hit, len(sums) + 1)
+  FROM (SELECT o.n, o.chunk_id, o.v, p.sums, p.sizes, p.names,
+      list_filter(range(1, len(p.sums) + 1), lambda i: p.sizes[i] < 20 AND round(list_dot_product(p.sums[i], o.v) / sqrt(list_dot_product(p.sums[i], p.sums[i])), 9) >= 0.92)[1] AS hit
+    FROM pass p JOIN ordered o ON o.n = p.n + 1)),
+led AS (SELECT chunk_id, names[hit] AS cluster_id FROM pass)
+SELECT cluster_id, chunk_id FROM led QUALIFY count(*) OVER (PARTITION BY cluster_id) > 1"""
+query("g05_leader_clusters", _LEADERS)(lambda s, p: cl.leader_clusters(cl.leader_blocks(near_copies(s, p))))
 
 
 def _members(s, p):

@@ -110,10 +110,20 @@ query("s14_reset_vectors", "SELECT doc_id AS chunk_id, false AS embedded FROM do
 query("j10_true_coverage", "SELECT count(*) AS chunks, count(*) FILTER (doc_id IN (SELECT vec_id FROM embeddings)) AS embedded FROM documents")(
     lambda s, p: table(s, p, "documents").agg(F.count(F.lit(1)).alias("chunks")).withColumn(
         "embedded", table(s, p, "documents").join(c.vectors(s, p), F.col("doc_id") == F.col("chunk_id"), "left_semi").agg(F.count(F.lit(1))).scalar()))
-query("r24_batch_embedding")(lambda s, p: vx.embed(
+_EMBEDDED = r"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS word FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)),
+h AS (SELECT doc_id, ('0x' || left(md5(word), 8))::BIGINT AS h FROM w WHERE word <> ''),
+b AS (SELECT doc_id, h % 64 AS bucket, sum(CASE WHEN (h >> 16) & 1 = 1 THEN 1 ELSE -1 END) AS v FROM h GROUP BY ALL),
+s AS (SELECT doc_id, sqrt(sum(v * v)) AS length, count(*) FILTER (v > 0) AS n_positive, count(*) FILTER (v < 0) AS n_negative, max(abs(v)) AS most FROM b GROUP BY doc_id)
+SELECT d.doc_id AS chunk_id, 64 AS dim, CASE WHEN length > 0 THEN 1.0 ELSE 0.0 END AS norm, coalesce(n_positive, 0) AS n_positive, coalesce(n_negative, 0) AS n_negative,
+  (SELECT min(bucket) FROM b WHERE b.doc_id = d.doc_id AND abs(b.v) = s.most AND most > 0) AS strongest
+FROM documents d LEFT JOIN s USING (doc_id) WHERE d.doc_id NOT IN (SELECT vec_id FROM embeddings)"""
+query("r24_batch_embedding", _EMBEDDED)(lambda s, p: vx.embed(
     vx.stale_chunks(table(s, p, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), c.vectors(s, p)), vx.encoder("hash", 64), 64,
     {"model": "hash", "provider": "built-in"}, {"dim": 64, "model": "hash", "provider": "built-in"})
-    .select("chunk_id", F.size("embedding").alias("dim"), F.round(vx.norm("embedding"), 4).alias("norm")))
+    .withColumn("most", F.array_max(F.transform("embedding", F.abs)))
+    .select("chunk_id", F.size("embedding").alias("dim"), F.round(vx.norm("embedding"), 4).alias("norm"),
+            F.size(F.filter("embedding", lambda x: x > 0)).alias("n_positive"), F.size(F.filter("embedding", lambda x: x < 0)).alias("n_negative"),
+            F.when(F.col("most") > 0, F.array_position(F.transform("embedding", F.abs), F.col("most")) - 1).alias("strongest")))
 query("f58_unit_and_cosine", """SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)), 4) AS square, round(list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding::DOUBLE[])), 6) AS mirrored FROM embeddings""")(
     lambda s, p: table(s, p, "embeddings").select("vec_id", F.round(F.pow(vx.norm("embedding"), 2), 4).alias("square"), F.round(vx.cosine("embedding", F.reverse("embedding")), 6).alias("mirrored")))
 

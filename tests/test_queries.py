@@ -15,6 +15,7 @@ SAMPLE = [
     "r01_hybrid_search", "r04_bm25_lines", "r05_keyword_only", "a07_withheld_counts", "r14_disclosure_apply", "r16_admissibility",
     "r18_record_rendering", "r20_action_check", "s03_doc_upsert", "q02_index_currency", "g02_promotion_gate", "g05_near_duplicate_groups",
     "h03_retrieve", "h06_name_resolution", "q01_open_claims", "w10_best_window", "x01_stream_corpus", "x04_stream_staleness",
+    "g05_leader_clusters", "z04_merge_candidates", "w12_request_limiter", "r24_batch_embedding", "sql_note_functions", "sql_chunk_notes", "g03_promote",
 ]
 
 
