@@ -184,9 +184,9 @@ _BASE = ["docs", "links", "supersessions", "beliefs"]
 
 
 def _every_doc(s, p):
-    """Each note as a hit of one request with score 1, for the per-signal checks."""
+    """Each note as a hit of one request, a hundred notes in id order to a request, for the per-signal checks."""
     return src.docs(s, p).withColumns({
-        "query_id": F.col("k") % 5, "score": F.lit(1.0) / (F.col("k") + 1), "boosts": F.create_map().cast("map<string,double>"),
+        "query_id": F.floor(F.col("k") / 100), "score": F.lit(1.0) / (F.col("k") + 1), "boosts": F.create_map().cast("map<string,double>"),
         "vec_rank": F.col("k").cast("int"), "kw_rank": F.lit(None).cast("int"), "recency": F.lit(True), "query": F.lit("the invoice"),
         "persona": F.concat(F.lit("p"), (F.col("k") % 3).cast("string")),
     }).withColumn("chunk_id", F.col("k")).drop("k")
@@ -269,17 +269,17 @@ query("p05_priority_filter_after_cut", with_views(NOTE_VIEWS, "SELECT query_id,
 
 # ---- ordering and assembly over every note ---------------------------------
 
-_ORD = f"o AS (SELECT *, k % 5 AS query_id, {_ABS} AS made, row_number() OVER (PARTITION BY k % 5 ORDER BY k) AS pos FROM docs)"
+_ORD = f"o AS (SELECT *, k // 100 AS query_id, {_ABS} AS made, row_number() OVER (PARTITION BY k // 100 ORDER BY k) AS pos FROM docs)"
 query("t03_final_order", with_views(["docs"], "SELECT query_id, rel_path, pos FROM o", _ORD))(
     lambda s, p: R.order_hits(_every_doc(s, p)).select("query_id", "rel_path", "pos"))
 
 
-def _assembled(s, p, guard, k=500):
+def _assembled(s, p, guard, k=50):
     return R.assemble(R.order_hits(_every_doc(s, p)).withColumns({"k": F.lit(k), "recency": F.lit(guard)}))
 
 
 query("w04_abstraction_cap", with_views(["docs"], """SELECT query_id, rel_path, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS rank FROM (
-   SELECT *, sum(made::INT) OVER (PARTITION BY query_id ORDER BY pos) AS n_made FROM o) WHERE NOT made OR n_made <= 2 QUALIFY rank <= 500""", _ORD))(
+   SELECT *, sum(made::INT) OVER (PARTITION BY query_id ORDER BY pos) AS n_made FROM o) WHERE NOT made OR n_made <= 2 QUALIFY rank <= 50""", _ORD))(
     lambda s, p: _assembled(s, p, False).select("query_id", "rel_path", "rank"))
 query("w05_recency_guard", with_views(["docs"], """SELECT query_id, rel_path, row_number() OVER (PARTITION BY query_id ORDER BY made, pos) AS rank FROM (
    SELECT *, sum(made::INT) OVER (PARTITION BY query_id ORDER BY made, pos) AS n_made FROM o) WHERE NOT made OR n_made <= 2""", _ORD))(

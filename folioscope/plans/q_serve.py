@@ -287,13 +287,13 @@ query("r22_create_or_amend", with_views(["docs"], """SELECT query_id, confidence
 query("u07_amend_words", with_views(["docs"], """SELECT k, len(list_intersect(list_distinct(regexp_extract_all(lower('project_' || title || ' ledger'), '[a-z0-9]{4,}')), list_distinct(regexp_extract_all(lower(rel_path), '[a-z0-9]{4,}')))) >= 2 AS amend FROM docs"""))(
     lambda s, p: src.docs(s, p).select("k", (F.size(F.array_intersect(g.long_words(F.concat(F.lit("project_"), "title", F.lit(" ledger"))), g.long_words("rel_path"))) >= 2).alias("amend")))
 
-_ZORD = f"z AS (SELECT *, k % 5 AS query_id, floor(k / 10) AS bucket, CASE evidence WHEN 'observed' THEN '1' WHEN 'sourced' THEN '2' WHEN 'synthesized' THEN '3' ELSE '6' END AS cred, {sql_is_abstraction('doc_type', 'slug')} AS made FROM docs)"
+_ZORD = f"z AS (SELECT *, k // 100 AS query_id, floor(k / 10) AS bucket, CASE evidence WHEN 'observed' THEN '1' WHEN 'sourced' THEN '2' WHEN 'synthesized' THEN '3' ELSE '6' END AS cred, {sql_is_abstraction('doc_type', 'slug')} AS made FROM docs)"
 
 
 def _tied(s, p):
     k = F.col("k")
     return src.docs(s, p).withColumns({
-        "query_id": k % 5, "score": F.lit(1.0) / (F.floor(k / 10) + 1), "pos": (k + 1).cast("int"), "boosts": F.create_map().cast("map<string,double>"),
+        "query_id": F.floor(k / 100), "score": F.lit(1.0) / (F.floor(k / 10) + 1), "pos": (k + 1).cast("int"), "boosts": F.create_map().cast("map<string,double>"),
         "recency": F.lit(False), "query": F.lit("the invoice"), "chunk_id": k}).withColumn("k", F.lit(1 << 30))
 
 
