@@ -17,17 +17,19 @@ SUFFIXES = (
     "ations", "ation", "ities", "ility", "ingly", "ables", "able", "ible", "ings", "ing", "ers", "er", "ed", "es",
     "s", "ly",
 )
-IGNORED = sorted(set(
-    (
-        "about above after again against also been before being below between both could does doing down during each "
-        "every from have having here itself just just like more most much must once only other over same should some "
-        "such than that them then there these they this those through under until very what when where which while "
-        "with would your yours user when with this they that this used into upon also other than rule when never "
-        "always cannot stop avoid this with they have when where "
-        "the and but for are was has had can may will did you our its out not from into one any all use way get let "
-        "put via per own new old off yet its it's than then them"
-    ).split()
-))
+# Words that say nothing about a rule, as two lists.
+LONG_IGNORED = tuple(
+    "about above after again against also been before being below between both could does doing down during each every "
+    "from have having here itself just just like more most much must once only other over same should some such than "
+    "that them then there these they this those through under until very what when where which while with would your "
+    "yours user when with this they that this used into upon also other than rule when never always cannot stop avoid "
+    "this with they have when where".split()
+)
+SHORT_IGNORED = tuple(
+    "the and but for are was has had can may will did you our its out not from into one any all use way get let put via "
+    "per own new old off yet its it's than then them".split()
+)
+IGNORED = LONG_IGNORED + SHORT_IGNORED
 MIN_LINE = 12
 # name, pattern, weight, type it sets
 SAVE_INTENT = r"\b(remember|save this|don't forget|note this|tag this|memorize)\b"
