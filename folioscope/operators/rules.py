@@ -1,13 +1,17 @@
 """Saved guidance relevant to a proposed action, and where a new note belongs."""
 
+import math
+from decimal import ROUND_HALF_UP, Decimal
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import directives as g
 from ..functions.serving import sanitize_field
-from ..functions.text import pin
 from ..params import DEFAULTS
-from ..session import cut
 
 
 def core_rules(text: str, actions: DataFrame) -> DataFrame:
@@ -18,58 +22,161 @@ def core_rules(text: str, actions: DataFrame) -> DataFrame:
     ).filter(F.trim("text") != "")
 
 
-def rule_idf(hits: DataFrame) -> DataFrame:
-    """(action_id, token, idf, default_idf) over the documents supplied for each action."""
-    n = hits.groupBy("action_id").agg(F.count(F.lit(1)).alias("n"))
-    tokens = hits.select("text").distinct().select("text", g.rule_tokens("text").alias("tokens"))
-    df = (
-        hits.select("action_id", "text").join(tokens, "text").select("action_id", F.explode("tokens").alias("token"))
-        .groupBy("action_id", "token").agg(F.count(F.lit(1)).alias("df"))
-    )
-    d = df.join(n, "action_id").withColumn("idf", F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1.0)
-    top = d.groupBy("action_id").agg(F.max("idf").alias("default_idf"))
-    return d.select("action_id", "token", "idf").join(top, "action_id")
+def _by_action(hits: DataFrame, **columns) -> DataFrame:
+    """The hits with an action and its number of hits `n`, the rows of one action side by side. It is the window of `n`
+    that brings them together, so `n` has to stay; hits that come grouped by action are not shuffled again."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("action_id"))
+    d = hits.filter("action_id is not null").select("action_id", *[c.alias(k) for k, c in columns.items()], n.alias("n"))
+    return d.sortWithinPartitions("action_id")
+
+
+def _groups(batches, names):
+    """Lists of the values of `names`, one list of rows per action, from rows sorted by action."""
+    key, held = None, []
+    for batch in batches:
+        values = [batch.column(c).to_pylist() for c in ("action_id", *names)]
+        for at, *row in zip(*values):
+            if at != key:
+                if held:
+                    yield key, held
+                key, held = at, []
+            held.append(row)
+    if held:
+        yield key, held
+
+
+def _frequencies(texts, read, known):
+    """In how many of an action's texts each token occurs. `known` holds the tokens of the action's distinct texts."""
+    df = {}
+    for text in texts:
+        if text is not None:
+            tokens = known.get(text)
+            if tokens is None:
+                tokens = known[text] = read(text)
+            for x in tokens:
+                df[x] = df.get(x, 0) + 1
+    return df
+
+
+def _row(**columns):
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
+
+
+def _batched(rows, schema, size=4096):
+    out = []
+    for row in rows:
+        out.append(row)
+        if len(out) == size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
 
-def related(a, r):
-    return (a == r) | ((F.length(a) >= 5) & (F.length(r) >= 5) & (F.contains(a, r) | F.contains(r, a)))
+def rule_idf(hits: DataFrame) -> DataFrame:
+    """(action_id, token, idf, default_idf) over the documents supplied for each action."""
+    d = _by_action(hits, low=F.lower("text"))
+    kind = d.schema["action_id"].dataType
+    out = _row(action_id=kind, n=T.LongType(), tokens=T.ArrayType(T.StringType()), df=T.ArrayType(T.LongType()))
+    schema = to_arrow_schema(out)
+
+    def counted(batches):
+        read = g.word_reader()
+        for action, rows in _groups(batches, ("low",)):
+            df = _frequencies([r[0] for r in rows], read, {})
+            if df:
+                yield action, len(rows), list(df), list(df.values())
+
+    def idf(df):
+        return F.ln((F.col("n") + 1) / (df + 1)) + 1.0
+
+    d = d.mapInArrow(lambda batches: _batched(counted(batches), schema), out)
+    d = d.select("action_id", "n", idf(F.array_min("df")).alias("default_idf"), F.explode(F.arrays_zip("tokens", "df")).alias("t"))
+    return d.select("action_id", F.col("t.tokens").alias("token"), idf(F.col("t.df")).alias("idf"), "default_idf")
+
+
+def _related_places(y, tokens, whole):
+    """Places in `tokens` of those related to `y`; `whole` is the tokens between blanks."""
+    if len(y) < 5:
+        return tuple(i for i, x in enumerate(tokens) if x == y)
+    inside = y in whole
+    return tuple(i for i, x in enumerate(tokens) if len(x) >= 5 and (x in y or (inside and y in x)))
+
+
+def _rounded(x):
+    """Nine places, halves up: as Spark rounds."""
+    return float(Decimal(repr(x)).quantize(Decimal("1e-9"), ROUND_HALF_UP))
+
+
+def _warnings(rows, read, floor, cap):
+    """The best `cap` directive lines of one action's rows (low, action, rel_path, pos, numbers, lines, lows)."""
+    texts, tokens, actions, found, sums = {}, {}, {}, [], {}
+    df = _frequencies([r[0] for r in rows], read, texts)
+    if not df:
+        return
+    idf = {x: math.log((len(rows) + 1) / (n + 1)) + 1.0 for x, n in df.items()}
+    default = max(idf.values())
+    for _, action, rel_path, pos, numbers, lines, lows in rows:
+        if action is None or rel_path is None or pos is None or not lines:
+            continue
+        if action not in actions:
+            a = read(action)
+            actions[action] = a, " ".join(a), sum(idf.get(x, default) for x in a), {}
+        a, whole, w_a, places = actions[action]
+        for number, line, low in zip(numbers, lines, lows):
+            r = tokens.get(low)
+            if r is None:
+                r = tokens[low] = read(low)
+            at = set()
+            for y in r:
+                if y not in places:
+                    places[y] = _related_places(y, a, whole)
+                at.update(places[y])
+            if at:
+                matched = [a[i] for i in sorted(at)]
+                key = rel_path, pos, number
+                s = sums.setdefault(key, [0.0, 0.0, 0.0])
+                s[0] += w_a
+                s[1] += sum(idf.get(x, default) for x in r)
+                s[2] += sum(idf.get(x, default) for x in matched)
+                found.append((key, line, matched))
+    best, seen = [], set()
+    for key, line, matched in sorted(found, key=lambda f: f[0][1:]):
+        w_a, w_r, w_matched = sums[key]
+        score = w_matched / min(w_a, w_r)
+        if score >= floor - 1e-6 and (key[0], line[:60]) not in seen:
+            rounded = _rounded(score)
+            if rounded >= floor:
+                seen.add((key[0], line[:60]))
+                best.append((-rounded, key[1], key[2], key[0], line, matched, score))
+    best.sort(key=lambda b: b[:3])
+    for k, (_, _, _, rel_path, line, matched, score) in enumerate(best[:cap]):
+        yield k + 1, rel_path, line, ", ".join(sorted(matched)), score
 
 
 def check_actions(hits: DataFrame, p=DEFAULTS) -> DataFrame:
     """(action_id, rank, rel_path, line, matched, score): at most `rule_cap` directive lines per action.
 
-    hits: action_id, action, rel_path, doc_type, text, pos. Only feedback documents may act as rules. Token sets meet
-    inside the (action, line) row, so no pair of vocabularies is ever joined."""
-    asked = hits.filter("doc_type = 'feedback'").select("action_id", "action", "rel_path", "pos", "text")
-    rules = asked.select("text").distinct().select("text", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    rules = rules.select("text", "line_no", F.btrim("raw", F.lit(" \t\r")).alias("line")).filter(g.is_directive("line"))
-    rules = pin(rules, r=g.rule_tokens("line"))
-    actions = asked.select("action").distinct().select("action", g.rule_tokens("action").alias("a"))
-    rows = asked.join(rules, "text").join(actions, "action").select("action_id", "rel_path", "pos", "line_no", "line", "a", "r")
-    rows = pin(rows, matched=F.filter("a", lambda x: F.exists("r", lambda y: related(x, y))))
-    rows = cut(rows.filter(F.size("matched") > 0))
-    idf = cut(rule_idf(hits))
-    line = ["action_id", "rel_path", "pos", "line_no"]
-
-    def tagged(c):
-        return F.transform(F.col(c), lambda x: F.struct(F.lit(c).alias("side"), x.alias("token")))
-
-    tokens = rows.select(*line, F.explode(F.concat(tagged("a"), tagged("r"), tagged("matched"))).alias("t")).select(*line, "t.side", "t.token")
-    default = idf.select("action_id", "default_idf").distinct()
-    weighed = (
-        tokens.join(idf.select("action_id", "token", "idf"), ["action_id", "token"], "left")
-        .join(default, "action_id")
-        .withColumn("w", F.coalesce("idf", "default_idf"))
-        .groupBy(*line).agg(*[F.sum(F.when(F.col("side") == s, F.col("w"))).alias(f"w_{s}") for s in ("a", "r", "matched")])
-    )
-    scored = rows.join(weighed, line).withColumn("score", F.col("w_matched") / F.least("w_a", "w_r"))
-    scored = scored.filter(F.round("score", 9) >= p.rule_floor)
-    first = Window.partitionBy("action_id", "rel_path", F.left("line", F.lit(60))).orderBy("pos", "line_no")
-    once = scored.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
-    best = Window.partitionBy("action_id").orderBy(F.desc(F.round("score", 9)), "pos", "line_no")
-    return once.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= p.rule_cap).select(
+    hits: action_id, action, rel_path, doc_type, text, pos. Only feedback documents may act as rules. The rows of an action
+    meet once, sorted by action; a task holds one action's rows, and no token becomes a row."""
+    cleaned = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("no"), F.btrim(x, F.lit(" \t\r")).alias("line")))
+    lines = F.when(F.col("doc_type") == "feedback", F.filter(cleaned, lambda x: g.is_directive(x["line"])))
+    d = _by_action(hits, low=F.lower("text"), action=F.lower("action"), rel_path=F.col("rel_path"), pos=F.col("pos").cast("long"), lines=lines)
+    d = d.select("action_id", "n", "low", "action", "rel_path", "pos", F.col("lines.no").alias("numbers"), F.col("lines.line").alias("lines"),
+                 F.transform("lines.line", lambda x: F.lower(x)).alias("lows"))
+    text = T.StringType()
+    out = _row(action_id=d.schema["action_id"].dataType, rank=T.IntegerType(), rel_path=text, line=text, matched=text, score=T.DoubleType())
+    schema = to_arrow_schema(out)
+    floor, cap = p.rule_floor, p.rule_cap
+
+    def run(batches):
+        read = g.word_reader()
+        groups = _groups(batches, ("low", "action", "rel_path", "pos", "numbers", "lines", "lows"))
+        yield from _batched(((action, *w) for action, rows in groups for w in _warnings(rows, read, floor, cap)), schema)
+
+    return d.mapInArrow(run, out).select(
         "action_id", "rank", sanitize_field("rel_path", 160).alias("rel_path"), sanitize_field("line", 160).alias("line"),
-        F.array_join(F.array_sort("matched"), ", ").alias("matched"), "score",
+        "matched", "score",
     )
 
 

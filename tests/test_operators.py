@@ -2,11 +2,13 @@
 
 from collections import defaultdict
 import itertools
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from folioscope.functions import directives as dr
 from folioscope.operators import archive as ar
 from folioscope.operators import chunking as ch
 from folioscope.operators import cluster as cl
@@ -381,6 +383,42 @@ def test_labelled_rules_meet_the_bar(spark):
     assert not [w for w in warned if not cases[w[0]][1]]
 
 
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def rule_rows(spark):
+    text = "Never ship the red bolt without a receipt.\nStored.\nAlways verify-early the invoices: shipping!"
+    hits = [(1, "shipping the unverified invoice", "a.md", "feedback", text, 1), (1, "shipping the unverified invoice", "b.md", "feedback", "Never ship bolts twice.", 2),
+            (1, "shipping the unverified invoice", "c.md", "project", None, 3), (2, None, "a.md", "feedback", text, 1), (None, "ship", "a.md", "feedback", text, 1)]
+    return spark.createDataFrame(hits, "action_id int, action string, rel_path string, doc_type string, text string, pos int").repartition(3)
+
+
+def test_rules_of_an_action_meet_in_one_shuffle(spark):
+    df = rule_rows(spark)
+    assert shuffles(ru.check_actions(df)) == 2 and shuffles(ru.rule_idf(df)) == 2  # one is the table's own
+    texts = {x: set(dr.word_reader()((x or "").lower())) for x in (r["text"] for r in df.collect())}
+    got = {}
+    for action, token, idf, default in ru.rule_idf(df).collect():
+        got.setdefault(action, {})[token] = idf, default
+    assert set(got) == {1, 2}
+    own = [r["text"] for r in df.collect() if r["action_id"] == 1]
+    for token, (idf, default) in got[1].items():
+        assert abs(idf - (math.log(4 / (sum(token in texts[x] for x in own) + 1)) + 1)) < 1e-12
+        assert default == max(v for v, _ in got[1].values())
+    assert set(got[1]) == set().union(*(texts[x] for x in own))
+    warned = ru.check_actions(df).orderBy("rank").collect()
+    assert [(r["rel_path"], r["rank"]) for r in warned if r["action_id"] == 1][:1] == [("a.md", 1)]
+    assert {r["action_id"] for r in warned} == {1} and {r["rel_path"] for r in warned} <= {"a.md", "b.md"}
+
+
+def test_rule_tokens_of_odd_words(spark):
+    text = "--Order-12. Re-checking the x-ray..b bolts; ORDERS' (tables) a.b c-d-e éclairs"
+    got = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(dr.rule_tokens("t")).collect()
+    assert [r[0] for r in got] == [dr.word_reader()(text.lower()), None, []]
+    assert got[0][0] == ["order-12", "order", "re-check", "check", "x-ray..b", "ray", "bolt", "tabl", "a.b", "c-d-e", "clair"]
+
+
 def docs_df(spark, rows_):
     return spark.createDataFrame([(p, f"/r/{p}", h, "t", "", "", "", "", False, "{}") for p, h in rows_],
                                  "rel_path string, abs_path string, doc_hash string, title string, doc_type string, disclosure string, evidence string, claim_date string, is_priority boolean, metadata string")
