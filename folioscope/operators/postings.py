@@ -6,8 +6,9 @@ lengths. It is written in folders by a hash of the term and sorted by term, so a
 terms and joins their rows by term.
 
 A search is one plan whatever the number of requests: asked terms meet their postings; the postings of a phrase in a part
-are intersected to hits; hits are summed to document frequencies; and hits and requests meet by (part, block of requests),
-where each request keeps its best `depth` chunks of that part before anything is shuffled again.
+are intersected to hits; hits are summed to document frequencies; and hits and requests meet by (group of parts, blocks of
+requests), where each request keeps its best `depth` chunks of those parts before anything is shuffled again. A request
+travels as one row of phrase numbers.
 """
 
 import numpy as np
@@ -24,6 +25,9 @@ K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
 
 PART_CHUNKS = 4096
+# A task of a search holds this many blocks of requests and about this many hits, or one part's.
+TASK_BLOCKS = 32
+TASK_ENTRIES = 1 << 22
 BUCKETS = 32
 INDEX = "bucket int, term string, part int, places array<long>, chunk_ids array<long>, lengths array<int>"
 _HITS = "name string, part int, n long, chunks array<int>, times array<int>"
@@ -125,35 +129,41 @@ def _best(ids, scores, depth):
 
 
 def _score(depth):
+    """Hits of some parts, and requests with the numbers and weights of their phrases -> each request's best chunks."""
+
     def run(hits, asks):
         nothing = pa.table({"query_id": pa.array([], pa.int64()), "chunk_id": pa.array([], pa.int64()), "kw_score": pa.array([], pa.float64())})
-        names = hits["name"].to_pylist()
-        if None not in names or not len(asks):
+        names, parts = hits["name_id"].to_pylist(), hits["part"].to_pylist()
+        own = [k for k, name in enumerate(names) if name is None]
+        if not own or not len(asks):
             return nothing
-        own = names.index(None)
-        ids, lengths = (np.array(hits[c][own].as_py(), "i8") for c in ("ids", "times"))
-        saturated = {}
-        idf = dict(zip(asks["name"].to_pylist(), asks["idf"].to_pylist()))
-        stretch = K1 * (1 - B + B * lengths / max(asks["avg_len"][0].as_py(), 1e-9))
+        ids = np.concatenate([hits["ids"][k].values.to_numpy() for k in own])
+        lengths = np.concatenate([hits["times"][k].values.to_numpy() for k in own]).astype("i8")
+        sizes = [len(hits["ids"][k]) for k in own]
+        begin = dict(zip((parts[k] for k in own), np.cumsum([0, *sizes])))
+        stretch = K1 * (1 - B + B * lengths / max(hits["avg_len"][0].as_py(), 1e-9))
+        idf, pieces = hits["idf"].to_pylist(), {}
         for k, name in enumerate(names):
             if name is not None:
-                at = hits["chunks"][k].values.to_numpy()
+                at = hits["chunks"][k].values.to_numpy() + begin[parts[k]]
                 tf = hits["times"][k].values.to_numpy()
-                saturated[name] = at, idf[name] * tf * (K1 + 1) / (tf + stretch[at])
+                pieces.setdefault(name, []).append((at, idf[k] * tf * (K1 + 1) / (tf + stretch[at])))
+        found = {name: tuple(np.concatenate(x) for x in zip(*own_pieces)) for name, own_pieces in pieces.items()}
         out = []
-        asks = asks.sort_by([("query_id", "ascending"), ("name", "ascending")])
-        query = asks["query_id"].to_numpy()
-        name, weight = asks["name"].to_pylist(), asks["weight"].to_numpy()
-        begins = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]]))
-        for a, b in zip(begins, [*begins[1:], len(query)]):
-            total = np.zeros(len(ids))
-            for k in range(a, b):
-                if name[k] in saturated:
-                    at, sat = saturated[name[k]]
-                    total[at] += sat * weight[k]
-            total = np.round(total, 9)
-            best = _best(ids, total, depth)
-            out.append((np.full(len(best), query[a]), ids[best], total[best]))
+        for query, phrases, weights in zip(asks["query_id"].to_pylist(), asks["name_ids"].to_pylist(), asks["weights"].to_pylist()):
+            held = [(*found[n], w) for n, w in zip(phrases, weights) if n in found]
+            if held:
+                at = np.concatenate([h[0] for h in held])
+                saturated = np.concatenate([h[1] * h[2] for h in held])
+                if 4 * len(at) < len(ids):
+                    touched, back = np.unique(at, return_inverse=True)
+                    total = np.round(np.bincount(back, saturated), 9)
+                else:
+                    touched, total = slice(None), np.round(np.bincount(at, saturated, len(ids)), 9)
+                best = _best(ids[touched], total, depth)
+                out.append((np.full(len(best), query), ids[touched][best], total[best]))
+        if not out:
+            return nothing
         q, c, s = (np.concatenate(x) for x in zip(*out))
         return pa.table({"query_id": pa.array(q, pa.int64()), "chunk_id": pa.array(c, pa.int64()), "kw_score": pa.array(s, pa.float64())})
 
@@ -161,25 +171,30 @@ def _score(depth):
 
 
 def search(phrases: DataFrame, index: DataFrame, depth: int, block: int) -> DataFrame:
-    """(query_id, chunk_id, kw_score): each part's best `depth` chunks of every request. Phrases: query_id, phrase, weight."""
+    """(query_id, chunk_id, kw_score): the best `depth` chunks of every request in each group of parts. Phrases: query_id,
+    phrase, weight. A task meets one group of parts with TASK_BLOCKS blocks of requests; phrases travel as numbers."""
+    spark = index.sparkSession
     asked = written(phrases.withColumn("name", F.array_join("phrase", " ")), "asked")
-    blocks = max(1, -(-asked.select("query_id").distinct().count() // block))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    lanes = max(1, -(-asked.select("query_id").distinct().count() // (block * TASK_BLOCKS)))
     hits = written(phrase_hits(asked, index), "hits")
     own = index.filter("bucket = -1").select("part", "chunk_ids", "lengths")
     lengths = own.select(F.size("chunk_ids").alias("n"), F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x).alias("t"))
     n_docs, avg_len = lengths.agg(F.sum("n")).scalar(), lengths.agg(F.sum("t") / F.sum("n")).scalar()
     raw = F.ln((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     rare = hits.groupBy("name").agg(F.sum("n").alias("df")).withColumn("idf", F.when(raw > 0, raw).otherwise(F.lit(IDF_FLOOR)))
-    known = asked.join(rare.select("name", "idf"), "name").withColumn("avg_len", avg_len)
-    used = known.select("name", "block").distinct()
-    left = hits.join(used, "name").select("part", "block", "name", F.lit(None).cast("array<long>").alias("ids"), "chunks", "times")
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = left.unionByName(own.select("part", F.explode(every).alias("block"), F.lit(None).cast("string").alias("name"), F.col("chunk_ids").alias("ids"), F.lit(None).cast("array<int>").alias("chunks"), F.col("lengths").alias("times")))
-    # a request goes only to the parts that hold one of its phrases
-    right = known.join(hits.select("name", "part"), "name").select("query_id", F.col("part").alias("in_part"), F.col("block").alias("in_block"), "name", F.col("weight").cast("double").alias("weight"), "idf", "avg_len")
-    left, right = dealt(left, "part", "block"), dealt(right, "in_part", "in_block")
-    return left.groupBy("part", "block").cogroup(right.groupBy("in_part", "in_block")).applyInArrow(_score(depth), _SCORED)
+    names = written(rare.select("name", "idf", F.monotonically_increasing_id().alias("name_id")), "names")
+    entries = hits.agg(F.sum("n")).first()[0] or 0
+    groups = min(max(own.count(), 1), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // TASK_ENTRIES)))
+    group, lane = F.pmod("part", F.lit(groups)).cast("int").alias("group"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane")
+    left = hits.join(names, "name").select("part", "name_id", "idf", F.lit(None).cast("array<long>").alias("ids"), "chunks", "times")
+    left = left.unionByName(own.select("part", F.lit(None).cast("long").alias("name_id"), F.lit(None).cast("double").alias("idf"), F.col("chunk_ids").alias("ids"), F.lit(None).cast("array<int>").alias("chunks"), F.col("lengths").alias("times")))
+    left = left.select("*", group, lane).withColumn("avg_len", avg_len)
+    ordered = F.array_sort(F.collect_list(F.struct("name", "name_id", F.col("weight").cast("double").alias("weight"))))
+    known = asked.join(names, "name").groupBy("query_id").agg(ordered.alias("p")).select(
+        "query_id", F.col("p.name_id").alias("name_ids"), F.col("p.weight").alias("weights"), F.pmod(F.xxhash64("query_id"), F.lit(lanes)).cast("int").alias("in_lane"))
+    right = known.withColumn("in_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    left, right = dealt(left, "group", "lane"), dealt(right, "in_group", "in_lane")
+    return left.groupBy("group", "lane").cogroup(right.groupBy("in_group", "in_lane")).applyInArrow(_score(depth), _SCORED)
 
 
 def top(scored: DataFrame, depth: int) -> DataFrame:

@@ -205,6 +205,10 @@ def detector_rates(labelled: DataFrame, warnings: DataFrame) -> DataFrame:
     )
 
 
+def worth_saving(texts: DataFrame) -> DataFrame:
+    return texts.filter(g.retention("text")["commit"])
+
+
 def suggest(texts: DataFrame, hits: DataFrame) -> DataFrame:
     """create or amend, per text worth saving. texts: query_id, text; hits: query_id, rank, rel_path, title."""
     d = texts.withColumn("r", g.retention("text")).filter("r.commit").select(

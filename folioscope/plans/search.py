@@ -9,7 +9,7 @@ from ..functions import disclosure as dis
 from ..functions.text import basename_slug
 from ..operators import rank as R
 from ..operators.bounded import restrict
-from ..operators.rules import suggest
+from ..operators.rules import suggest, worth_saving
 from ..operators.postings import write_postings
 from ..operators.textindex import bm25_topn, tokenise
 from ..operators.vectors import knn_topn
@@ -139,6 +139,7 @@ def keyword_search(requests: DataFrame, corpus: Corpus, p=DEFAULTS, block=REQUES
 
 def suggest_by_search(texts: DataFrame, corpus: Corpus, k=3, p=DEFAULTS):
     """create or amend, per text worth saving (query_id, text): the notes are those that keyword search finds for it."""
+    texts = cut(worth_saving(texts))  # nothing is searched for the others
     asked = texts.select("query_id", F.col("text").alias("query"), F.lit(k).alias("k"))
     hits, _ = keyword_search(asked, corpus, p)
     return suggest(texts, hits.select("query_id", "rank", "rel_path", "title"))

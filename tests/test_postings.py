@@ -56,6 +56,20 @@ def test_scores_by_brute_force_at_every_size_of_parts_and_blocks(spark, part, bl
     assert sorted(map(tuple, found.select("query_id", "chunk_id", "kw_rank").collect())) == brute_force(chunks, requests, 6)
 
 
+def test_hits_meet_many_blocks_at_once(spark, monkeypatch):
+    chunks, requests = corpus(4, 150), [(k, f"w{k % 7} w{k % 11} w{k % 5}") for k in range(40)]
+    index = po.write_postings(ti.tokenise(spark.createDataFrame(chunks, "chunk_id long, text string")), 16)
+    lefts, dealt = [], po.dealt
+    monkeypatch.setattr(po, "dealt", lambda d, *keys: (lefts.append((keys, d)), dealt(d, *keys))[1])
+    for blocks, entries in ((po.TASK_BLOCKS, po.TASK_ENTRIES), (1, 1)):
+        monkeypatch.setattr(po, "TASK_BLOCKS", blocks)
+        monkeypatch.setattr(po, "TASK_ENTRIES", entries)
+        found = ti.bm25_topn(spark.createDataFrame(requests, "query_id long, query string"), index, 6, 4)
+        assert sorted(map(tuple, found.select("query_id", "chunk_id", "kw_rank").collect())) == brute_force(chunks, requests, 6)
+    ten = [d.count() for keys, d in lefts if keys[0] == "group"]
+    assert ten[1] == 10 * ten[0]  # one block a task deals the hits ten times, 32 blocks once
+
+
 def test_only_folders_of_the_asked_terms_are_read(spark):
     index = po.write_postings(ti.tokenise(spark.createDataFrame(corpus(2, 60), "chunk_id long, text string")))
     phrases = ti.query_phrases(spark.createDataFrame([(1, "w3 w4")], "query_id long, query string"))
