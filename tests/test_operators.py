@@ -419,6 +419,14 @@ def test_rule_tokens_of_odd_words(spark):
     assert got[0][0] == ["order-12", "order", "re-check", "check", "x-ray..b", "ray", "bolt", "tabl", "a.b", "c-d-e", "clair"]
 
 
+def test_short_texts_meet_no_join(spark):
+    d = spark.createDataFrame([(1, "short\n"), (2, "x " * 500 + "needle"), (3, None)], "id int, t string")
+    made = x.excerpts(d, ["id"], "t", F.array(F.lit("needle")), 100)
+    got = {r.id: r.excerpt for r in made.collect()}
+    assert got[1] == "short" and got[3] is None and "needle" in got[2] and len(got[2]) <= 100
+    assert "Union" in made._jdf.queryExecution().optimizedPlan().toString()
+
+
 def docs_df(spark, rows_):
     return spark.createDataFrame([(p, f"/r/{p}", h, "t", "", "", "", "", False, "{}") for p, h in rows_],
                                  "rel_path string, abs_path string, doc_hash string, title string, doc_type string, disclosure string, evidence string, claim_date string, is_priority boolean, metadata string")
