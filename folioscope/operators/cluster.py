@@ -15,6 +15,7 @@ from ..params import DEFAULTS
 from ..session import cut
 
 BLOCK = 4096
+SLAB = 512  # rows of a block that are compared at a time
 MAX_PIVOTS = 256  # pivots, their radii and the sample they are taken from are all that the driver holds
 PIVOT_SAMPLE = 2048
 SLACK = 1e-6  # radians; more than rounding of cosines and angles can make up
@@ -33,6 +34,14 @@ def _unit(series):
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
+def _slabs(a, b):
+    """(rows of a, their cosines with all of b), some rows at a time: a pair of blocks is never one matrix of doubles."""
+    left, right = _unit(a["embedding"]), _unit(b["embedding"]).T
+    for start in range(0, len(left), SLAB):
+        rows = slice(start, start + SLAB)
+        yield rows, np.round(left[rows] @ right, 9)
+
+
 def representatives(vectors: DataFrame):
     """(distinct vectors under their lowest id, map of every id to that id)."""
     keyed = vectors.filter(F.exists("embedding", lambda x: x != 0)).select(
@@ -140,14 +149,15 @@ def partners(vectors: DataFrame, threshold=DEFAULTS.cluster_threshold, block=BLO
     def work(a, b, same):
         rows = []
         if len(a) and len(b):
-            ia, ib = a["chunk_id"].to_numpy(), b["chunk_id"].to_numpy()
-            cos = np.round(_unit(a["embedding"]) @ _unit(b["embedding"]).T, 9)
-            near = (cos >= threshold) & (ia[:, None] != ib[None, :])
-            for ids, others, hit, c in ((ia, ib, near, cos),) if same else ((ia, ib, near, cos), (ib, ia, near.T, cos.T)):
-                some = np.flatnonzero(hit.any(axis=1))
-                for r in some:
-                    js = np.flatnonzero(hit[r])
-                    rows.append((ids[r], len(js), others[js].min(), c[r, js].max()))
+            ib = b["chunk_id"].to_numpy()
+            for slab, cos in _slabs(a, b):
+                ia = a["chunk_id"].to_numpy()[slab]
+                near = (cos >= threshold) & (ia[:, None] != ib[None, :])
+                for ids, others, hit, c in ((ia, ib, near, cos),) if same else ((ia, ib, near, cos), (ib, ia, near.T, cos.T)):
+                    some = np.flatnonzero(hit.any(axis=1))
+                    for r in some:
+                        js = np.flatnonzero(hit[r])
+                        rows.append((ids[r], len(js), others[js].min(), c[r, js].max()))
         return pd.DataFrame(rows, columns=["chunk_id", "n", "first_partner", "best_cos"])
 
     part = _block_pairs(vectors.select("chunk_id", "embedding"), work, "chunk_id long, n long, first_partner long, best_cos double",
@@ -188,7 +198,9 @@ def similar_edges(vectors: DataFrame, threshold=DEFAULTS.cluster_threshold, bloc
         edges = []
         if len(a) and len(b):
             ia, ib = a["chunk_id"].to_numpy(), b["chunk_id"].to_numpy()
-            near = (np.round(_unit(a["embedding"]) @ _unit(b["embedding"]).T, 9) >= threshold) & (ia[:, None] != ib[None, :])
+            near = ia[:, None] != ib[None, :]
+            for slab, cos in _slabs(a, b):
+                near[slab] &= cos >= threshold
             edges = _forest(ia, ib, near)
         return pd.DataFrame(edges, columns=["a", "b"]).astype(_EMPTY_EDGES)
 
@@ -321,23 +333,24 @@ def merge_candidates(vectors: DataFrame, threshold=DEFAULTS.cluster_threshold, b
     def best(a, b, same):
         rows = []
         if len(a) and len(b):
-            cos = np.round(_unit(a["embedding"]) @ _unit(b["embedding"]).T, 9)
-            if same:
-                np.fill_diagonal(cos, 1.0)
-            near = cos >= threshold
-            for one, two, hit, c in ((a, b, near, cos),) if same else ((a, b, near, cos), (b, a, near.T, cos.T)):
-                n, low = two["n"].to_numpy(), two[["id1", "id2"]].to_numpy()
-                files = two[["f1", "f2"]].to_numpy()
-                for r in np.flatnonzero(hit.any(axis=1)):
-                    js = np.flatnonzero(hit[r])
-                    ids, fs, cs = low[js].ravel(), files[js].ravel(), np.repeat(c[r, js], 2)
-                    order = np.lexsort((ids, -cs))
-                    order = order[ids[order] != _NO_FILE]
-                    top = order[0]
-                    rows.append((one["chunk_id"].iat[r], n[js].sum(), cs[top], ids[top], fs[top]))
-                    apart = order[fs[order] != fs[top]]
-                    if len(apart):
-                        rows.append((one["chunk_id"].iat[r], 0, cs[apart[0]], ids[apart[0]], fs[apart[0]]))
+            for slab, cos in _slabs(a, b):
+                part = a.iloc[slab]
+                if same:
+                    np.fill_diagonal(cos[:, slab], 1.0)
+                near = cos >= threshold
+                for one, two, hit, c in ((part, b, near, cos),) if same else ((part, b, near, cos), (b, part, near.T, cos.T)):
+                    n, low = two["n"].to_numpy(), two[["id1", "id2"]].to_numpy()
+                    files = two[["f1", "f2"]].to_numpy()
+                    for r in np.flatnonzero(hit.any(axis=1)):
+                        js = np.flatnonzero(hit[r])
+                        ids, fs, cs = low[js].ravel(), files[js].ravel(), np.repeat(c[r, js], 2)
+                        order = np.lexsort((ids, -cs))
+                        order = order[ids[order] != _NO_FILE]
+                        top = order[0]
+                        rows.append((one["chunk_id"].iat[r], n[js].sum(), cs[top], ids[top], fs[top]))
+                        apart = order[fs[order] != fs[top]]
+                        if len(apart):
+                            rows.append((one["chunk_id"].iat[r], 0, cs[apart[0]], ids[apart[0]], fs[apart[0]]))
         return pd.DataFrame(rows, columns=["rep", "n", "cosine", "other", "file"])
 
     found = cut(_block_pairs(classes, best, "rep long, n long, cosine double, other long, file string", threshold, block, pivots))
@@ -348,7 +361,9 @@ def merge_candidates(vectors: DataFrame, threshold=DEFAULTS.cluster_threshold, b
     def inside(a, b, same):
         rows = []
         if len(a) and len(b):
-            near = np.round(_unit(a["embedding"]) @ _unit(b["embedding"]).T, 9) >= threshold
+            near = np.empty((len(a), len(b)), bool)
+            for slab, cos in _slabs(a, b):
+                near[slab] = cos >= threshold
             if same:
                 np.fill_diagonal(near, True)
             near &= a["rel_path"].to_numpy()[:, None] == b["rel_path"].to_numpy()[None, :]
