@@ -2,8 +2,8 @@
 
 Encoding whole texts spends most of its time on repeated words. A text is cut only where the tokenizer itself always
 cuts (before a lone space, around a lone line feed), every distinct piece is encoded once by the library, and a text is
-the concatenation of its pieces. The cache is bounded: when it is full its older half goes, which costs time, never a
-result. Texts are cut at the strings of the vocabulary's added tokens first, as the library does; each gives its one id.
+the concatenation of its pieces. Words and pieces share one cache: a piece encodes as the word that looks like it. The
+cache is bounded: when it is full its older half goes, which costs time, never a result. Texts are cut at the strings of the vocabulary's added tokens first, as the library does; each gives its one id.
 """
 
 import re
@@ -16,7 +16,8 @@ import numpy as np
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+"
 
-#: Entries of one generation of a cache; four generations are held per Python worker, at about 200 bytes an entry.
+#: Words, and as many pieces, of one generation of the cache; two generations are held per Python worker, at about 200
+#: bytes an entry.
 CACHE_ENTRIES = 200_000
 
 #: Pieces of these characters (no numbers but the digits) are split here; every other piece goes to the library whole.
@@ -24,6 +25,7 @@ PLAIN = re.compile("[\n\t\r -~¡-±´-¸º»¿-ɏ]+")
 LONG = 200
 ODD_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 LONE_SPACE = re.compile(r"(?<=\S)(?= \S)")
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def byte_letters():
@@ -55,7 +57,8 @@ class Encoder:
         self.spaced = self.library.normalizer is None
         self.pattern = re.compile(BYTE_PATTERN if self.spaced else WORD_PATTERN)
         self.letters = byte_letters()
-        self.words, self.pieces = Cache(entries), Cache(entries)
+        self.cache = Cache(2 * entries)
+        self.packed = [struct.pack("<I", i) for i in range(self.library.get_vocab_size())]
         added = self.library.get_added_tokens_decoder()
         if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
             raise ValueError("added tokens that are not matched as plain strings are not supported")
@@ -71,21 +74,34 @@ class Encoder:
         return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
 
     def piece(self, piece):
-        got = self.pieces.old.get(piece)
+        got = self.cache.old.get(piece)
         if got is None:
-            found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-            got = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+            if piece.isascii() and piece.isprintable():
+                shown = piece.replace(" ", self.letters[32])
+            else:
+                shown = piece.encode().decode("latin-1").translate(self.letters)
+            packed = self.packed
+            got = b"".join([packed[t.id] for t in self.model.tokenize(shown)])
         return got
 
+    def parts(self, chunk):
+        """As the pattern splits it; letters, and letters before punctuation, need no search."""
+        core = chunk.rstrip(PUNCTUATION)
+        if core[1:].isalpha() and (core[0] == " " or core[0].isalpha()):
+            return (core, chunk[len(core) :]) if len(core) < len(chunk) else (core,)
+        return self.pattern.findall(chunk)
+
     def word(self, chunk):
         if len(chunk) > LONG or not (chunk.isascii() and chunk.isprintable() or PLAIN.fullmatch(chunk)):
             return np.array(self.library.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        parts = self.pattern.findall(chunk if self.spaced else chunk.lower())
-        known = self.pieces.young
+        parts = self.parts(chunk if self.spaced else chunk.lower())
+        known, out = self.cache.young, []
         for p in parts:
-            if p not in known:
-                known[p] = self.piece(p)
-        return b"".join(map(known.__getitem__, parts))
+            got = known.get(p)
+            if got is None:
+                got = known[p] = self.piece(p)
+            out.append(got)
+        return out[0] if len(out) == 1 else b"".join(out)
 
     def ids(self, text):
         if not any(a in text for a in self.added):
@@ -95,9 +111,8 @@ class Encoder:
     def plain_ids(self, text):
         """Of a text without added tokens."""
         chunks = self.chunks(text)
-        self.words.make_room()
-        self.pieces.make_room()
-        known, old = self.words.young, self.words.old
+        self.cache.make_room()
+        known, old = self.cache.young, self.cache.old
         new = set(chunks).difference(known)
         for c in new:
             got = old.get(c)

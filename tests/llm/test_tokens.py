@@ -42,6 +42,20 @@ def test_a_full_cache_changes_nothing():
         assert np.frombuffer(own.ids(text), "<u4").tolist() == own.library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_letters_and_closing_punctuation_need_no_search_and_one_cache(name):
+    own, draw = tokens.Encoder(tokens.vocabulary(name)), random.Random(3)
+    for _ in range(3000):
+        chunk = draw.choice(["", " "] if own.spaced else [""]) + "".join(draw.choices("abéüœ_'s.,!?-7½ªº", k=draw.randint(0, 6)))
+        assert list(own.parts(chunk)) == own.pattern.findall(chunk), repr(chunk)
+    own.pattern = None  # searched by the encoder for every new word before
+    text = "Plain words, éclair words!!! and Plain; (no"
+    assert np.frombuffer(own.ids(text[:-5]), "<u4").tolist() == own.library.encode(text[:-5], add_special_tokens=False).ids
+    held = len(own.cache.young)
+    own.ids("Plain words")  # the piece of "words," is the word
+    assert len(own.cache.young) == held
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=700), max_size=6))
 def test_codes_give_back_every_id(docs):
