@@ -43,15 +43,16 @@ class DeltaTable:
                 out = out.unionByName(self.spark.read.schema(self.kept).option("basePath", f"{self.folder}/{kind}").parquet(*paths))
         return out
 
-    def current(self, before=None, keys: DataFrame | None = None) -> DataFrame:
-        """The table as of the batches below `before`; with `keys`, only the rows of those owners."""
-        rows = self.history(before)
+    def current(self, before=None, keys: DataFrame | None = None, **derived) -> DataFrame:
+        """The table as of the batches below `before`; with `keys`, only the rows of those owners. `derived` columns are
+        computed where a row is read: a reader that takes a digest of a wide column does not send the column itself."""
+        rows = self.history(before).withColumns(derived)
         if keys is not None:
             keys = keys.select(self.key).distinct()
             used = [r.bucket for r in self.bucketed(keys).select("bucket").distinct().collect()]  # at most `buckets` numbers
             rows = rows.filter(F.col("bucket").isin(used)).join(keys, self.key, "left_semi")
         newest = rows.withColumn("newest", F.max("batch").over(Window.partitionBy(self.key)))
-        return newest.filter("batch = newest and not gone").select(*self.columns)
+        return newest.filter("batch = newest and not gone").select(*self.columns, *derived)
 
     def write(self, batch, rows: DataFrame, owners: DataFrame):
         """New rows of the owners that the batch touches. An owner without rows is emptied."""
@@ -65,7 +66,8 @@ class DeltaTable:
         self.put("delta", batch, rows.select(*self.columns, F.lit(False).alias("gone")))
 
     def put(self, kind, batch, rows):
-        self.bucketed(rows).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{kind}/batch={batch}")
+        """Every task writes its rows into the buckets where they are: no row is sent once more, none waits in a bucket's sort."""
+        self.bucketed(rows).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{kind}/batch={batch}")
 
     def compact(self):
         """Write what a reader now sees as one folder, from which later readers start."""

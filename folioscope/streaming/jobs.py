@@ -70,7 +70,7 @@ def import_batch(tables: CorpusTables, batch: DataFrame, batch_id: int):
         kept.count()  # fills the cache once for all that follows
         writes = (
             (tables.docs, kept, kept.select("rel_path").union(gone)),
-            (tables.links, notes.links(recut).dropDuplicates(["src_path", "tgt_raw"]), owners),
+            (tables.links, notes.links(recut), owners),  # one row a path, whose links are distinct
             (tables.supersessions, notes.supersessions(here).dropDuplicates(["src_path", "tgt_raw"]), everyone),
             (tables.beliefs, fresh, readable.select("rel_path").union(gone).union(elsewhere)),
             (tables.chunks, chunking.chunk_documents(recut), touched.union(gone)),
