@@ -67,8 +67,8 @@ class Reader:
         """How many of the first i ids of level k go on."""
         _, bitmap, ranks = self.levels[k]
         block = i // RANK_BITS
-        bits = np.unpackbits(bitmap[block * RANK_BITS // 8 : -(-i // 8)], count=i - block * RANK_BITS, bitorder="little")
-        return int(ranks[block]) + int(bits.sum())
+        bits = int.from_bytes(bitmap[block * RANK_BITS // 8 : -(-i // 8)].tobytes(), "little")
+        return int(ranks[block]) + (bits & ((1 << i - block * RANK_BITS) - 1)).bit_count()
 
     def token(self, i) -> int:
         value = 0
@@ -80,15 +80,20 @@ class Reader:
         return value
 
     def tokens(self, start, end) -> np.ndarray:
-        """ids start..end-1; on each level only the places they need are read."""
-        value, where = np.zeros(end - start, "<u4"), np.arange(end - start)
+        """ids start..end-1; on each level only the places they need are read. No id goes on from the last level."""
+        value, where = np.zeros(end - start, "<u4"), None
         for k, (chunk, bitmap, _) in enumerate(self.levels):
             if start == end:
                 break
-            value[where] |= chunk[start:end].astype("<u4") << np.uint32(CHUNK * k)
+            if where is None:
+                value[:] = chunk[start:end]
+            else:
+                value[where] |= chunk[start:end].astype("<u4") << np.uint32(CHUNK * k)
+            if k + 1 == len(self.levels):
+                break
             low = start & ~7
-            on = np.unpackbits(bitmap[low >> 3 : -(-end // 8)], count=end - low, bitorder="little")[start - low :]
-            where = where[on > 0]
+            on = np.unpackbits(bitmap[low >> 3 : -(-end // 8)], count=end - low, bitorder="little")[start - low :].nonzero()[0]
+            where = on if where is None else where[on]
             start = self.rank(k, start)
             end = start + len(where)
         return value

@@ -79,7 +79,7 @@ class Encoder:
             if piece.isascii() and piece.isprintable():
                 shown = piece.replace(" ", self.letters[32])
             else:
-                shown = piece.encode().decode("latin-1").translate(self.letters)
+                shown = "".join(map(self.letters.__getitem__, piece.encode()))
             packed = self.packed
             got = b"".join([packed[t.id] for t in self.model.tokenize(shown)])
         return got
@@ -94,6 +94,8 @@ class Encoder:
     def word(self, chunk):
         if len(chunk) > LONG or not (chunk.isascii() and chunk.isprintable() or PLAIN.fullmatch(chunk)):
             return np.array(self.library.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if self.spaced and chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
+            return self.piece(chunk)
         parts = self.parts(chunk if self.spaced else chunk.lower())
         known, out = self.cache.young, []
         for p in parts:
@@ -113,15 +115,19 @@ class Encoder:
         chunks = self.chunks(text)
         self.cache.make_room()
         known, old = self.cache.young, self.cache.old
-        new = set(chunks).difference(known)
-        for c in new:
-            got = old.get(c)
-            known[c] = self.word(c) if got is None else got
-        out = b"".join(map(known.__getitem__, chunks))
-        for c in new:
-            if len(c) > LONG:
-                del known[c]
-        return out
+        out, long = list(map(known.get, chunks)), []
+        for at in [k for k, ids in enumerate(out) if ids is None]:
+            c = chunks[at]
+            got = known.get(c)
+            if got is None:
+                got = old.get(c)
+                known[c] = got = self.word(c) if got is None else got
+                if len(c) > LONG:
+                    long.append(c)
+            out[at] = got
+        for c in long:
+            del known[c]
+        return b"".join(out)
 
 
 _ENCODERS = {}

@@ -68,6 +68,14 @@ def test_codes_give_back_every_id(docs):
         assert reader.tokens(a, min(len(ids), a + 517)).tolist() == ids[a : a + 517].tolist()
 
 
+def test_a_document_is_read_without_unpacking_the_last_level(monkeypatch):
+    ids, calls, unpack = np.arange(0, 60000, 7, dtype="<u4"), [], np.unpackbits
+    reader = dac.Reader(dac.encode(ids, [4000, 0, len(ids) - 4000]))
+    monkeypatch.setattr(dac.np, "unpackbits", lambda *a, **k: calls.append(1) or unpack(*a, **k))
+    assert len(reader.levels) == 2 and reader.document(2).tolist() == ids[4000:].tolist() and reader.document(1).tolist() == []
+    assert len(calls) == 1  # six before: the last level has no bits set, ranks were unpacked too
+
+
 def test_written_documents_read_back(spark):
     path, docs = tokens.vocabulary("byte_bpe_50k.json"), awkward(spark)
     own = tokens.Encoder(path)
