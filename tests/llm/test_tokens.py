@@ -73,7 +73,7 @@ def test_a_document_is_read_without_unpacking_the_last_level(monkeypatch):
     reader = dac.Reader(dac.encode(ids, [4000, 0, len(ids) - 4000]))
     monkeypatch.setattr(dac.np, "unpackbits", lambda *a, **k: calls.append(1) or unpack(*a, **k))
     assert len(reader.levels) == 2 and reader.document(2).tolist() == ids[4000:].tolist() and reader.document(1).tolist() == []
-    assert len(calls) == 1  # six before: the last level has no bits set, ranks were unpacked too
+    assert len(calls) == 1  # the last level has no bits set; ranks are counted, not unpacked
 
 
 def test_written_documents_read_back(spark):
